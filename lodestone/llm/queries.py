@@ -33,6 +33,19 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode_column
+
+    return encode_column(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), with_ids=False)
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import media_features, to_media
 
