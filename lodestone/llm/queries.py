@@ -40,6 +40,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shards import shard
+
+    return shard(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode_column
 
@@ -52,6 +58,15 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(to_media(table(spark, sf_dir, "documents")))
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chats, read_chats
+
+    text = "</s>[INST] ok [/INST]"
+    given = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return read_chats(format_chats(rows.unionByName(given)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
