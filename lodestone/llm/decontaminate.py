@@ -39,7 +39,7 @@ SCAN_BYTES = 16 << 20
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 WORD = np.array([x >= 128 or chr(x).isalnum() for x in range(256)])
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
-INDEX = "block long, doc_ids binary, known binary, bounds binary, terms binary, term_ends binary, hashes binary, list_ends binary, positions binary"
+INDEX = "block long, doc_ids binary, text_hashes binary, known binary, bounds binary, terms binary, term_ends binary, hashes binary, list_ends binary, positions binary"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -83,7 +83,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.
     return out
 
 
-def _index_row(doc_ids: list, texts: list[bytes]) -> dict[str, bytes]:
+def _index_row(doc_ids: list, text_hashes: list[int], texts: list[bytes]) -> dict[str, bytes]:
     data = b" ".join(texts).translate(LOWER)
     raw = np.frombuffer(data, np.uint8)
     starts, ends = _bounds(WORD[raw])
@@ -106,6 +106,7 @@ def _index_row(doc_ids: list, texts: list[bytes]) -> dict[str, bytes]:
     position = np.arange(len(starts), dtype=np.int64) + gap
     return {
         "doc_ids": np.array([x or 0 for x in doc_ids], "<i8").tobytes(),
+        "text_hashes": np.array(text_hashes, "<i8").tobytes(),
         "known": np.array([x is not None for x in doc_ids], np.uint8).tobytes(),
         "bounds": bounds.astype("<i8").tobytes(),
         "terms": b"".join(terms),
@@ -126,28 +127,30 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
+        hashes: list[int] = []
         texts: list[bytes] = []
         held = 0
 
         number = TaskContext.get().partitionId() << 32
 
         def close() -> pa.RecordBatch:
-            row = _index_row(ids, texts)
+            row = _index_row(ids, hashes, texts)
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in row.values())], names=["block", *row])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            for doc_id, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 text = text or b""
                 if ids and held + len(text) > BLOCK_BYTES:
                     yield close()
-                    ids, texts, held, number = [], [], 0, number + 1
+                    ids, hashes, texts, held, number = [], [], [], 0, number + 1
                 ids.append(doc_id)
+                hashes.append(text_hash)
                 texts.append(text)
                 held += len(text)
         if ids:
             yield close()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     return store(rows.mapInArrow(blocks, INDEX), "postings")
 
 
@@ -157,6 +160,7 @@ class Block:
     def __init__(self, row: dict[str, bytes]) -> None:
         self.number = row["block"]
         self.doc_ids = np.frombuffer(row["doc_ids"], "<i8")
+        self.text_hashes = np.frombuffer(row["text_hashes"], "<i8")
         self.known = np.frombuffer(row["known"], np.uint8)
         self.bounds = np.frombuffer(row["bounds"], "<i8")
         self.terms = row["terms"]
@@ -269,7 +273,7 @@ def _plans(index: DataFrame, items: DataFrame, size: int, scan_bytes: int) -> It
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
 
-        light = index.select("block", "doc_ids", "known", "bounds", "terms", "term_ends", "hashes", "list_ends")
+        light = index.select("block", "doc_ids", "text_hashes", "known", "bounds", "terms", "term_ends", "hashes", "list_ends")
         totals = light.mapInArrow(counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
         plan.rank({r["term"]: r["n"] for r in totals.collect()} if plan.windows else {})
         yield plan
@@ -304,15 +308,15 @@ def _search(index: DataFrame, plan: Plan) -> DataFrame:
                 ranges.append([x for ab in merged for x in ab])
                 names.append(sorted(items.get(doc, ())))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block.number] * docs, pa.int64()), pa.array(np.arange(docs)), pa.array(block.doc_ids, pa.int64(), mask=block.known == 0), pa.array(words), pa.array(hits), pa.array(ranges, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))],
-                names=["block", "at", "doc_id", "n_words", "n_hit", "spans", "items"],
+                [pa.array([block.number] * docs, pa.int64()), pa.array(np.arange(docs)), pa.array(block.doc_ids, pa.int64(), mask=block.known == 0), pa.array(block.text_hashes, pa.int64()), pa.array(words), pa.array(hits), pa.array(ranges, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))],
+                names=["block", "at", "doc_id", "text_hash", "n_words", "n_hit", "spans", "items"],
             )
 
-    return index.mapInArrow(found, "block long, at long, doc_id long, n_words long, n_hit long, spans array<long>, items array<string>")
+    return index.mapInArrow(found, "block long, at long, doc_id long, text_hash long, n_words long, n_hit long, spans array<long>, items array<string>")
 
 
 def search(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, item_col: str = "item_id", text_col: str = "text", scan_bytes: int = SCAN_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, spans (word ranges, flat: start, end, ...) and items of every document of the index."""
+    """doc_id, text_hash, n_words, n_hit, spans (word ranges, flat: start, end, ...) and items of every document of the index."""
     if size > WINDOW_GAP:
         raise ValueError(f"windows have at most {WINDOW_GAP} words")
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text"))
@@ -325,7 +329,7 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    grouped = rows.groupBy("block", "at", "doc_id", "n_words").agg(
+    grouped = rows.groupBy("block", "at", "doc_id", "text_hash", "n_words").agg(
         F.flatten(F.collect_list("spans")).alias("flat"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
     number = F.when(F.size("flat") > 0, F.sequence(F.lit(0), F.floor(F.size("flat") / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
@@ -338,7 +342,7 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
 
     spans = F.aggregate(pairs, F.array().cast("array<long>"), grown)
     hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
-    return grouped.withColumn("spans", spans).select("doc_id", "n_words", hit.alias("n_hit"), "spans", "items")
+    return grouped.withColumn("spans", spans).select("doc_id", "text_hash", "n_words", hit.alias("n_hit"), "spans", "items")
 
 
 def proximity(index: DataFrame, benchmark: DataFrame, slop: int, size: int = WINDOW, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -377,3 +381,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sha
         "items",
     )
 
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int = SHARE) -> DataFrame:
+    """The rows of docs, all columns, that aren't contaminated."""
+    found = search(build_index(docs), benchmark, size)
+    bad = found.where((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+    gone = store(bad.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "contaminated")
+    # Spark broadcasts the stored table only if its size is under the session's threshold.
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__hash"]), "left_anti")

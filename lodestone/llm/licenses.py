@@ -49,7 +49,7 @@ TEMPLATES = (
 def words(text: Column) -> Column:
     """Words in order.  Only two characters have an ASCII letter in their lower case; texts with those are spelled out."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    folded = F.when(text.contains("K") | text.contains("İ"), F.translate(text, upper, lower)).otherwise(F.lower(text))
+    folded = F.when(text.contains("\u212a") | text.contains("\u0130"), F.translate(text, upper, lower)).otherwise(F.lower(text))
     return F.regexp_extract_all(folded, F.lit(WORDS), F.lit(0))
 
 

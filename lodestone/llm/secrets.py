@@ -125,7 +125,7 @@ def ratio(token: Column, model: list[float]) -> Column:
     return F.aggregate(cells, F.lit(0.0), lambda acc, i: acc + F.get(table, i))
 
 
-def spans_of(text: Column, model: list[float]) -> tuple[Column, Column]:
+def spans_of(text: Column) -> tuple[Column, Column]:
     """(spans of the rules, candidates for the models that no rule covers), each by start and kind."""
     anything = lambda value: F.lit(True)
     long_value = lambda value: F.length(F.regexp_extract(value, RULES["assign"], 2)) >= 8
@@ -135,17 +135,22 @@ def spans_of(text: Column, model: list[float]) -> tuple[Column, Column]:
 
 
 def scan(docs: DataFrame, model: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with `base` and `spans`: arrays of (start, end, kind, value), by start and then kind."""
+    """docs (doc_id and text, or more) with `base` and `spans`: arrays of (start, end, kind, value), by start and then kind."""
     model = train(docs, id_col=id_col, text_col=text_col) if model is None else model
-    base, tokens = spans_of(F.coalesce(F.col(text_col), F.lit("")), model)
-    found = docs.withColumn("__base", base).withColumn("__tokens", tokens)
+    base, tokens = spans_of(F.coalesce(F.col(text_col), F.lit("")))
+    found = docs.withColumn("base", base).withColumn("tokens", tokens)
+    return found.withColumn("spans", with_random(F.col("base"), F.col("tokens"), model)).drop("tokens")
+
+
+def with_random(base: Column, tokens: Column, model: list[float]) -> Column:
+    """The rules' spans and, of the tokens that none covers, those that the models call random, by start and kind."""
 
     def random(t: Column) -> Column:
         score = ratio(t["value"], model)
-        covered = F.exists("__base", lambda b: (b["start"] <= t["start"]) & (b["end"] >= t["end"]))
+        covered = F.exists(base, lambda b: (b["start"] <= t["start"]) & (b["end"] >= t["end"]))
         return ~covered & (score >= LEAST_TOTAL) & (score >= LEAST_MEAN * (F.length(t["value"]) - 1))
 
-    return found.withColumn("__spans", F.array_sort(F.concat("__base", F.filter("__tokens", random)))).drop("__tokens").withColumnsRenamed({"__base": "base", "__spans": "spans"})
+    return F.array_sort(F.concat(base, F.filter(tokens, random)))
 
 
 def named(spans: Column) -> Column:
@@ -171,3 +176,16 @@ def redacted(text: Column, spans: Column) -> Column:
 
     done = F.aggregate(spans, zero, step)
     return F.when(F.size(spans) > 0, F.concat(done["out"], F.substr(text, done["at"] + 1))).otherwise(text)
+
+
+def redact(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
+    """docs, all columns, with secrets replaced in the texts; n_chars, if there, is the new length where that changes."""
+    model = train(docs) if model is None else model
+    base, tokens = "__base_spans", "__token_spans"
+    rules, candidates = spans_of(F.coalesce(F.col("text"), F.lit("")))
+    found = docs.withColumn(base, rules).withColumn(tokens, candidates).withColumn(base, with_random(F.col(base), F.col(tokens), model))
+    new = redacted(F.col("text"), F.col(base))
+    out = found.withColumn("text", new)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size(base) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, partitions, store
@@ -90,16 +90,16 @@ def fingerprints(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row, written to the shared folder."""
+    """(doc_id, text_hash, fp) of every row, written to the shared folder."""
     bounded_batches(docs.sparkSession)
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(texts, size))], names=["doc_id", "fp"])
+            texts = [x or b"" for x in batch.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fingerprints(texts, size))], names=["doc_id", "text_hash", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return store(rows.mapInArrow(marked, "doc_id long, fp long"), "fingerprints")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return store(rows.mapInArrow(marked, "doc_id long, text_hash long, fp long"), "fingerprints")
 
 
 def _arrow(**columns: np.ndarray) -> pa.RecordBatch:
@@ -195,12 +195,33 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return found.where("a <> b").unionByName(wide.mapInArrow(stars, "a long, b long"))
 
 
+def rooted(marked: DataFrame) -> DataFrame:
+    """(fp, root) of every distinct fingerprint of `marked`; those that links join have the same root."""
+    distinct = store(marked.select("fp").distinct(), "distinct")
+    roots = components(fingerprint_links(distinct))
+    return store(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the least doc_id that links reach, for every row."""
-    marked = with_fingerprints(docs, id_col, text_col, size)
-    first = store(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(fingerprint_links(first.select("fp")))
-    rooted = first.join(roots, first["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = store(rooted.join(named, "root").select("fp", "component_id"), "labels")
+    marked = with_fingerprints(docs, id_col, text_col, size).drop("text_hash")
+    roots = rooted(marked)
+    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = store(roots.join(least, "root").select("fp", "component_id"), "labels")
     return marked.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """One row of each group of near copies, all columns: the least doc_id (nulls last), then the least hash of the text.
+
+    Of rows that agree in both one stays.
+    """
+    marked = with_fingerprints(docs, size=size)
+    roots = rooted(marked)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("hash"))
+    first = marked.groupBy("fp").agg(F.min(order).alias("w")).join(roots, "fp").groupBy("root").agg(F.min("w").alias("w"))
+    winners = store(first.select(F.col("w.none").alias("__none"), F.col("w.id").alias("__id"), F.col("w.hash").alias("__hash")), "winners")
+    keyed = docs.withColumns({"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__hash": F.xxhash64("text")})
+    key = ["__id", "__hash", "__none"]
+    once = Window.partitionBy(*key).orderBy(*key)
+    return keyed.join(winners, key, "left_semi").withColumn("__copy", F.row_number().over(once)).where("__copy = 1").select(*docs.columns)

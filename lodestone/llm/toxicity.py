@@ -266,3 +266,17 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double, n_matches long")
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_matches")
+
+
+def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The rows of docs, all columns, that aren't predicted toxic."""
+    bounded_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lexicon.automaton()
+        for batch in batches:
+            p = lexicon.probability(np.array([lexicon.evidence(t or "", made)[0] for t in batch.column(at).to_pylist()], float))
+            yield batch.filter(pa.array(p < 0.5))
+
+    return docs.mapInArrow(clean, docs.schema)
