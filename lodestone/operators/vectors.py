@@ -48,7 +48,7 @@ def score_common_words(question_words: DataFrame, article_words: DataFrame, vect
     """(question_id, article_id, weight): cosine distance of the question's mean to the mean of the distinct words that
     the article shares with the question (or with its expansion).
     """
-    shared = (question_words if expanded is None else expanded).join(article_words.distinct(), "word").join(vectors, "word")
+    shared = (question_words if expanded is None else expanded).distinct().join(article_words.distinct(), "word").join(vectors, "word")
     means = mean_vectors(shared, ["question_id", "article_id"])
     both = means.join(question_vectors(question_words, vectors), "question_id")
     return both.select("question_id", "article_id", cosine_distance(F.col("qvec"), F.col("vec")).alias("weight"))

@@ -1,6 +1,6 @@
 """All queries, by name."""
 
-from . import text_queries  # noqa: F401
+from . import rank_queries, source_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

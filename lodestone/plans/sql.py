@@ -45,7 +45,7 @@ def rank_of(comparator: str, k: int = 3, scored: str = "sums LEFT JOIN norms USI
     order = "DESC" if comparator == "tf-idf" else "ASC"
     return f"""scores AS (SELECT question_id, article_id, {COMPARE[comparator]} AS weight FROM {scored}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(weight, 6) {order}, article_id) AS position FROM scores WHERE weight IS NOT NULL)
-SELECT question_id, article_id, position, round(weight, 5) AS weight FROM ranked WHERE position <= {k}"""
+SELECT question_id, article_id, position, round(weight, 5) + 0.0 AS weight FROM ranked WHERE position <= {k}"""
 
 
 WEIGHTED = """matched AS (SELECT q.question_id, tc.article_id, tc.word, tc.c, idf.idf FROM (SELECT DISTINCT question_id, word FROM qpost) q JOIN tc USING (word) JOIN idf USING (word)),
@@ -78,7 +78,7 @@ best AS (SELECT question_id, article_id, {pick}(weight) AS weight, arg_min(pos,
 def window_rank(comparator: str, n: int, k: int = 3) -> str:
     order = "DESC" if comparator == "tf-idf" else "ASC"
     return base(window_best(comparator, n), f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(weight, 6) {order}, article_id) AS position FROM best)
-SELECT question_id, article_id, position, round(weight, 5) AS weight FROM ranked WHERE position <= {k}""")
+SELECT question_id, article_id, position, round(weight, 5) + 0.0 AS weight FROM ranked WHERE position <= {k}""")
 
 
 #: Gold answers: documents that hold an item's text.
