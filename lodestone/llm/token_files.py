@@ -16,6 +16,7 @@ ties in doc_id are ordered by the text's hash.  An empty table gives no files an
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,7 +34,9 @@ HEADER = struct.Struct("<4sHHIQQQ")
 #: Ids in a block (a multiple of 8), and ids after which a file is closed at the next document's end.
 BLOCK, FILE_IDS = 4096, 1 << 20
 #: Words a worker remembers the ids of; beyond it the memory starts anew.
-MEMORY = 700_000
+MEMORY = 900_000
+#: A space that doesn't start a word.
+WIDE = re.compile(r" (?=\s)| \Z")
 FILES = "shard int, segment int, n_docs long, n_ids long, file binary"
 
 
@@ -120,8 +123,9 @@ class WordEncoder:
     """The tokenizers library over texts, remembering the ids of what stands between spaces.
 
     A space that is followed by something other than white space always starts a token of the byte-level pattern, so a
-    text may be cut there and each piece, space included, encoded by itself.  Pieces that are new go to the library
-    together, one on a line: a line's end is a token of its own.
+    text may be cut there and each piece, space included, encoded by itself.  Pieces are made of units: lines, and the
+    full stop or comma after a word.  Units that are new go to the library together, one on a line: a line's end is a
+    token of its own.
     """
 
     def __init__(self, path: str) -> None:
@@ -135,16 +139,21 @@ class WordEncoder:
         probe = self.library.encode("a\n b\n c.", add_special_tokens=False).ids
         parts = [self.library.encode(x, add_special_tokens=False).ids for x in ("a", " b", " c.")]
         self.by_line = len(self.line) == 1 and probe == parts[0] + self.line + parts[1] + self.line + parts[2]
+        #: The ids of pieces with a space before them, and of lines' beginnings after a line's end.
         self.known: dict[str, bytes] = {}
+        self.marks = {"\r" + x: self.alone(x) for x in ".,"}
+
+    def ids_of(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def alone(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.ids_of(text).tobytes()
 
     @staticmethod
     def pieces(text: str) -> list[str]:
         """text cut at spaces before a word; all but the first stand for themselves with a space before them."""
         parts = text.split(" ")
-        if all(parts) and not any(x[0].isspace() for x in parts):
+        if not WIDE.search(text):
             return parts
         out = parts[:1]
         for x in parts[1:]:
@@ -154,22 +163,61 @@ class WordEncoder:
                 out[-1] += " " + x
         return out
 
+    def units(self, piece: str) -> list[str] | None:
+        """A piece's lines, and full stops and commas at their ends, each of which the pattern keeps apart.
+
+        A line after the first starts with a line feed, a mark with a carriage return; None where white space needs the library.
+        """
+        lines = piece.split("\n")
+        if not self.by_line or any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+            return None
+        out = []
+        for i, x in enumerate(lines):
+            lead = "\n" if i else ""
+            if len(x) > 1 and x[-1] in ".," and x[-2] < "\u0250" and x[-2].isalpha():
+                out += [lead + x[:-1], "\r" + x[-1]]
+            else:
+                out.append(lead + x)
+        return out
+
+    def split(self, joined: str, count: int) -> list[bytes] | None:
+        """The ids of the lines of a text, unless they can't be told apart."""
+        ids = self.ids_of(joined)
+        ends = np.flatnonzero(ids == self.line[0])
+        if len(ends) != count - 1:
+            return None
+        data = ids.tobytes()
+        begins = [0, *(4 * ends + 4).tolist()]
+        return [data[a : b - 4] for a, b in zip(begins, [*begins[1:], len(data) + 4], strict=True)]
+
     def learn(self, new: set[str]) -> None:
-        simple = [x for x in new if self.by_line and "\n" not in x and not x[-1].isspace()]
-        for x in new.difference(simple):
-            self.known[x] = self.alone(" " + x)
-        for i in range(0, len(simple), 2000):
-            part = simple[i : i + 2000]
-            ids = np.array(self.library.encode("\n".join([" " + x for x in part]), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.line[0])
-            if len(cuts) != len(part) - 1:
-                for x in part:
-                    self.known[x] = self.alone(" " + x)
-                continue
-            data, at = ids.tobytes(), 0
-            for x, end in zip(part, [*(4 * cuts).tolist(), len(data)], strict=True):
-                self.known[x] = data[at:end]
-                at = end + 4
+        known, marks = self.known, self.marks
+        words: set[str] = set()
+        lines: set[str] = set()
+        made: dict[str, list[str]] = {}
+        whole: list[str] = []
+        for x in new:
+            if x.isalpha() and self.by_line:
+                words.add(x)
+            elif (cut := self.units(x)) is None:
+                whole.append(x)
+            else:
+                made[x] = cut
+                for u in cut:
+                    if u not in known and u not in marks:
+                        (lines if u[0] == "\n" else words).add(u)
+        for group, lead in ((words, " "), (lines, "")):
+            todo = list(group)
+            for i in range(0, len(todo), 2000):
+                part = todo[i : i + 2000]
+                found = self.split(lead + ("\n" + lead).join(part) if lead else "".join(part)[1:], len(part))
+                known.update(zip(part, found or [self.alone(lead + u.lstrip("\n")) for u in part], strict=True))
+        line = np.array(self.line, "<u4").tobytes()
+        for x, cut in made.items():
+            if cut != [x]:
+                known[x] = b"".join(marks[u] if u in marks else line + known[u] if u[0] == "\n" else known[u] for u in cut)
+        for x in whole:
+            known[x] = self.alone(" " + x)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
@@ -177,10 +225,22 @@ class WordEncoder:
             cut = [None if any(s in x for s in self.special) else self.pieces(x) for x in texts[i : i + 200]]
             if len(self.known) > MEMORY:
                 self.known = {}
-            self.learn({x for p in cut if p for x in p[1:]}.difference(self.known))
+            new: set[str] = set()
+            firsts = []
+            for p in cut:
+                firsts.append(p[0] if p else "")
+                if p:
+                    p[0] = ""
+                    new.update(p)
+            new.discard("")
+            self.learn(new.difference(self.known))
             get = self.known.__getitem__
-            for x, p in zip(texts[i : i + 200], cut, strict=True):
-                yield self.alone(x) if p is None else self.alone(p[0]) + b"".join(map(get, p[1:]))
+            for x, p, first in zip(texts[i : i + 200], cut, firsts, strict=True):
+                if p is None:
+                    yield self.alone(x)
+                else:
+                    self.known[""] = self.alone(first)
+                    yield b"".join(map(get, p))
 
 
 _encoders: dict[str, WordEncoder] = {}
