@@ -15,6 +15,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import heapq
 from collections.abc import Iterator
@@ -32,6 +33,9 @@ MARK = "▁"
 MEMORY, PAIRS = 700_000, 1_000_000
 
 
+codecs.register_error("one-by-one", lambda e: ("\ufffd", e.start + 1))
+
+
 class Pieces:
     """A BPE model with byte fallback."""
 
@@ -215,12 +219,12 @@ class Pieces:
         return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """The text of ids in UTF-8: bytes that are no UTF-8 become replacement characters, one space goes in front."""
+        """The text of ids in UTF-8: each byte that is no UTF-8 becomes a replacement character, one space goes in front."""
         data = b"".join(map(self.surface.__getitem__, ids.tolist()))
         if len(ids) and data[:1] == b" " and not self.is_byte[ids[0]]:
             data = data[1:]
         if self.is_byte[ids].any():
-            data = data.decode("utf-8", "replace").encode()
+            data = data.decode("utf-8", "one-by-one").encode()
         return data
 
 
