@@ -77,7 +77,9 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, query_bytes: int = BROA
         part = queries if groups == 1 else queries.where(F.pmod(F.xxhash64("query"), F.lit(groups)) == g)
         taken = part.select("query", "vec").toPandas().sort_values("query")
         names = taken["query"].tolist()
-        matrix = np.array(taken["vec"].tolist(), float).reshape(len(names), -1)
+        if not names and groups > 1:
+            continue
+        matrix = np.array(taken["vec"].tolist(), float).reshape(len(names), width[0] or 1)
         size = np.linalg.norm(matrix, axis=1, keepdims=True)
         matrix = matrix / np.where(size == 0, np.nan, size)
 

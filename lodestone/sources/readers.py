@@ -64,7 +64,8 @@ def inline_questions(spark: SparkSession, questions: str, answers: str) -> DataF
 def form_questions(spark: SparkSession, text: str, title: str = "awk") -> DataFrame:
     """(question, title) of a form's lines, lower-cased and trimmed only."""
     row = spark.createDataFrame([(text,)], "t string")
-    return row.select(F.trim(F.lower(F.explode(F.split("t", "\r?\n")))).alias("question"), F.lit(title).alias("title")).where("question <> ''")
+    lines = row.select(F.explode(F.split("t", "\r?\n")).alias("line"))
+    return lines.select(F.trim(F.lower("line")).alias("question"), F.lit(title).alias("title")).where("question <> ''")
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
