@@ -505,3 +505,20 @@ def test_one_query_for_each_operator(spark):
     names = queries.queries()
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
     json.dumps(list(queries.oracle_sql()))
+
+
+def test_written_shards(spark, tmp_path):
+    docs = documents(spark, [(i, "x" * (i % 90)) for i in range(500)])
+    written = shards.write_shards(docs, str(tmp_path / "out"), shards=5)
+    by_rule = {r["doc_id"]: r["shard"] for r in shards.shard(docs, shards=5).collect()}
+    assert {r["doc_id"]: r["shard"] for r in written.collect()} == by_rule
+    assert set(written.columns) == {*docs.columns, "shard"}
+
+
+def test_shards_stand_rows_that_repeat(spark):
+    docs = [(1, "same text")] * 300 + [(i, f"text {i}") for i in range(600)]
+    got = rows(shards.shard(documents(spark, docs), shards=6))
+    slots = {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(got) == 900 and all(sorted(s) == list(range(len(s))) for s in slots.values())
