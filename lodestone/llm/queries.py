@@ -84,5 +84,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
+WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+GRAMS_SQL = "list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))"
+
+OP2_SQL = f"""
+WITH items AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, {WORDS_SQL} AS w FROM benchmark) WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, unnest({GRAMS_SQL}) AS g FROM items),
+docs AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+grams AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, unnest({GRAMS_SQL}) AS g FROM docs, (SELECT DISTINCT n FROM items) WHERE len(w) >= n),
+hits AS (SELECT doc_id, i, n, item_id FROM grams JOIN windows USING (n, g)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS name FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+OP10_SQL = r"""
+WITH given AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+whole AS (SELECT conv_id, count(*) AS n_turns, string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t) AS said,
+coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, t) FILTER (r = 'assistant'), '') AS loss,
+bool_or(contains(r, '<|end|>') OR contains(t, '<|end|>') OR contains(r, '<|text|>')) AS escaped,
+sum(length(r) + length(t) + 23)::BIGINT AS plain,
+sum(length(r || ' ' || t) - length(replace(r || ' ' || t, '\', '')) + (length(r || ' ' || t) - length(replace(r || ' ' || t, '<|', ''))) // 2)::BIGINT AS more
+FROM given GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+10 + plain + CASE WHEN escaped THEN more ELSE 0 END AS formatted_chars, true AS identical FROM whole
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others need hashes, tokenizers or models that SQL doesn't have; tests hold them against brute force."""
+    return {"op2_decontamination": OP2_SQL, "op10_chat": OP10_SQL}
