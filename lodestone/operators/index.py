@@ -14,28 +14,35 @@ from ..functions import text as T
 STOP_WORDS, MIN_WORDS = 30, 10
 
 
-def frequent_words(docs: DataFrame, k: int = STOP_WORDS, text_col: str = "text") -> DataFrame:
+def frequent_words(docs: DataFrame, k: int = STOP_WORDS, tokens: Column | None = None) -> DataFrame:
     """(word, df) of the k words that most documents have; of equals the first in order."""
-    words = docs.select(F.explode(F.array_distinct(T.article_tokens(F.col(text_col)))).alias("word"))
+    tokens = T.article_tokens(F.col("text")) if tokens is None else tokens
+    words = docs.select(F.explode(F.array_distinct(tokens)).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "word").limit(k)
 
 
-def stop_words(docs: DataFrame, k: int = STOP_WORDS) -> list[str]:
-    return sorted(r["word"] for r in frequent_words(docs, k).collect())
+def stop_words(docs: DataFrame, k: int = STOP_WORDS, tokens: Column | None = None) -> list[str]:
+    return sorted(r["word"] for r in frequent_words(docs, k, tokens).collect())
 
 
 def without(words: Column, stop: list[str]) -> Column:
     return F.filter(words, lambda w: ~w.isin(stop)) if stop else words
 
 
-def articles(docs: DataFrame, stop: list[str], min_words: int = MIN_WORDS, text: Column | None = None) -> DataFrame:
-    """(article_id, words): words of eligible documents, without stop words; `text` picks another field than the text.
+def tokenized(docs: DataFrame, title: bool = False) -> DataFrame:
+    """(article_id, content, words): tokens of the whole text, and of the field that is searched."""
+    content = T.article_tokens(F.col("text"))
+    words = T.article_tokens(T.title_of(F.col("text"))) if title else F.array().cast("array<string>")
+    return docs.select(F.col("doc_id").alias("article_id"), content.alias("content"), words.alias("words"))
+
+
+def articles(tokens: DataFrame, stop: list[str], min_words: int = MIN_WORDS, title: bool = False) -> DataFrame:
+    """(article_id, words): words of eligible documents, without stop words, from tokenized documents.
 
     Eligibility always counts the words of the whole text.
     """
-    content = without(T.article_tokens(F.col("text")), stop)
-    rows = docs.select(F.col("doc_id").alias("article_id"), content.alias("content"), (content if text is None else without(T.article_tokens(text), stop)).alias("words"))
-    return rows.where(F.size("content") >= min_words).select("article_id", "words")
+    rows = tokens.withColumn("content", without(F.col("content"), stop)).where(F.size("content") >= min_words)
+    return rows.select("article_id", (without(F.col("words"), stop) if title else F.col("content")).alias("words"))
 
 
 def questions(items: DataFrame, stop: list[str], id_col: str = "item_id") -> DataFrame:

@@ -62,16 +62,27 @@ def _norms(qw: DataFrame) -> DataFrame:
     return qw.groupBy("question_id").agg(F.sum(F.col("qw") * F.col("qw")).alias("n2"), F.sum(F.abs("qw")).alias("n1"))
 
 
+def question_table(questions: DataFrame, idf: DataFrame, min_idf: float) -> tuple[DataFrame, DataFrame]:
+    """(question_id, word, idf, qw or null) of all distinct words that articles have, and the question vectors' norms.
+
+    All that scoring needs of questions is put together before postings are met, so that those move once.
+    """
+    qw = question_weights(questions, idf, min_idf).select("question_id", "word", "qw")
+    words = question_words(questions).join(idf.select("word", "idf"), "word").join(qw, ["question_id", "word"], "left")
+    return words.select("question_id", "word", "idf", "qw"), _norms(qw)
+
+
 def score_documents(questions: DataFrame, postings: DataFrame, n_articles: int, comparator: str = "tf-idf", power: float = 3.0, min_idf: float = 0.0) -> DataFrame:
-    """(question_id, article_id, weight), whole documents: w = c / matched positions * idf."""
+    """(question_id, article_id, weight), whole documents: w = c / matched positions * idf.
+
+    The exchange by question and article serves the totals and the sums alike.
+    """
     counts = term_counts(postings)
-    idf = document_frequency(counts, n_articles)
-    matched = question_words(questions).join(counts, "word").join(idf.select("word", "idf"), "word")
+    words, norms = question_table(questions, document_frequency(counts, n_articles), min_idf)
+    matched = words.join(counts, "word").repartition("question_id", "article_id")
     total = F.sum("c").over(Window.partitionBy("question_id", "article_id"))
     weighted = matched.withColumn("w", F.col("c") / total * F.col("idf"))
-    qw = question_weights(questions, idf, min_idf).select("question_id", "word", "qw")
-    rows = weighted.join(qw, ["question_id", "word"], "left")
-    return _distances(rows, _norms(qw), F.col("w"), ["question_id", "article_id"], comparator, power)
+    return _distances(weighted, norms, F.col("w"), ["question_id", "article_id"], comparator, power)
 
 
 def matched_bigrams(questions: DataFrame, postings: DataFrame) -> DataFrame:
@@ -101,10 +112,9 @@ def score_windows(questions: DataFrame, postings: DataFrame, n_articles: int, n:
     Linear in the matches, however wide the window: each match enters at its position and leaves n + 1 later; running
     counts by word give what the window's sums change by, and running totals of those are the windows' sums.
     """
-    counts = term_counts(postings)
-    idf = document_frequency(counts, n_articles)
-    qw = question_weights(questions, idf, min_idf).select("question_id", "word", "qw")
-    hits = question_words(questions).join(postings, "word").join(idf.select("word", "idf"), "word").join(qw, ["question_id", "word"], "left")
+    words, norms = question_table(questions, document_frequency(term_counts(postings), n_articles), min_idf)
+    # one exchange: all that follows groups by question and article and something more, or by these
+    hits = words.join(postings, "word").repartition("question_id", "article_id")
     moves = F.explode(F.array(F.struct(F.col("pos").alias("p"), F.lit(1).alias("d")), F.struct((F.col("pos") + n + 1).alias("p"), F.lit(-1).alias("d"))))
     events = hits.select("question_id", "article_id", "word", "idf", "qw", moves.alias("e")).select("question_id", "article_id", "word", "idf", "qw", "e.p", "e.d")
     net = events.groupBy("question_id", "article_id", "word", "p").agg(F.sum("d").alias("d"), F.max("d").alias("enters"), F.first("idf").alias("idf"), F.first("qw").alias("qw"))
@@ -128,7 +138,7 @@ def score_windows(questions: DataFrame, postings: DataFrame, n_articles: int, n:
     if comparator == "tf-idf":
         scored = sums.withColumn("weight", F.col("s") * F.pow("k", F.lit(power)))
     else:
-        joined = sums.join(_norms(qw), "question_id")
+        joined = sums.join(norms, "question_id")
         if comparator == "cosine":
             joined = joined.where((F.col("v2") > 1e-12) & (F.col("n2") > 0))
             weight = 1 - F.col("dot") / F.sqrt(F.col("n2") * F.col("v2"))

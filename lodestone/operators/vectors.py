@@ -28,35 +28,87 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - dot(a, b) / (norm(a) * norm(b))
 
 
-def mean_vectors(rows: DataFrame, key: str | list[str], vec: str = "vec") -> DataFrame:
-    """(key..., vec): means by dimension, over rows that have a vector.
+def width_of(vectors: DataFrame, vec: str = "vec") -> int:
+    return vectors.agg(F.max(F.size(vec))).first()[0] or 1
 
-    One row a dimension and key leaves each task, whatever a key's size: sums are made before the exchange.
+
+def mean_vectors(rows: DataFrame, key: str | list[str], width: int, vec: str = "vec") -> DataFrame:
+    """(key..., vec): means by dimension, over rows that have a vector of `width` numbers.
+
+    Dimensions are summed as columns, in the tasks first, so one row a key and task is exchanged whatever a key's size.
     """
     keys = [key] if isinstance(key, str) else key
-    each = rows.where(F.col(vec).isNotNull()).select(*keys, F.posexplode(vec).alias("dim", "x"))
-    means = each.groupBy(*keys, "dim").agg(F.avg("x").alias("m"))
-    return means.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("vec"))
+    sums = rows.where(F.col(vec).isNotNull()).groupBy(*keys).agg(*[F.avg(F.get(vec, F.lit(i))).alias(f"__{i}") for i in range(width)])
+    return sums.select(*keys, F.array(*[f"__{i}" for i in range(width)]).alias("vec"))
 
 
 def question_vectors(question_words: DataFrame, vectors: DataFrame) -> DataFrame:
     """(question_id, qvec): mean of the words' vectors; a question none of whose words has one gets no row."""
-    return mean_vectors(question_words.join(vectors, "word"), "question_id").withColumnRenamed("vec", "qvec")
+    return mean_vectors(question_words.join(vectors, "word"), "question_id", width_of(vectors)).withColumnRenamed("vec", "qvec")
 
 
-def score_common_words(question_words: DataFrame, article_words: DataFrame, vectors: DataFrame, expanded: DataFrame | None = None) -> DataFrame:
-    """(question_id, article_id, weight): cosine distance of the question's mean to the mean of the distinct words that
-    the article shares with the question (or with its expansion).
+def rank_common_words(question_words: DataFrame, articles: DataFrame, vectors: DataFrame, k: int, expanded: DataFrame | None = None, query_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(question_id, article_id, weight) of the k best: cosine distance of the question's mean to the mean of the
+    distinct words that the article (article_id, words) shares with the question, or with its expansion.
+
+    A stated query set against all rows, in blocks: a task gets the vectors of a bounded group of questions' words only,
+    sums those that each article has as one product of matrices, and gives on its k best of each question.
     """
-    shared = (question_words if expanded is None else expanded).distinct().join(article_words.distinct(), "word").join(vectors, "word")
-    means = mean_vectors(shared, ["question_id", "article_id"])
-    both = means.join(question_vectors(question_words, vectors), "question_id")
-    return both.select("question_id", "article_id", cosine_distance(F.col("qvec"), F.col("vec")).alias("weight"))
+    wanted = (question_words if expanded is None else expanded).distinct().join(vectors, "word")
+    means = question_vectors(question_words, vectors)
+    width = width_of(vectors)
+    groups = max(1, -(-wanted.count() * width * 8 // query_bytes))
+    out = None
+    for g in range(groups):
+        mine = F.pmod(F.xxhash64("question_id"), F.lit(groups)) == g
+        questions = {r["question_id"]: r["qvec"] for r in means.where(mine).collect()}
+        number: dict[str, int] = {}
+        table: list = []
+        pairs: list[tuple[int, int]] = []
+        ids = sorted(questions)
+        row_of = {q: i for i, q in enumerate(ids)}
+        for r in wanted.where(mine).select("question_id", "word", "vec").collect():
+            if r["question_id"] in row_of:
+                if r["word"] not in number:
+                    number[r["word"]] = len(number)
+                    table.append(r["vec"])
+                pairs.append((row_of[r["question_id"]], number[r["word"]]))
+        has = np.zeros((len(ids), len(number)), np.float32)
+        if pairs:
+            has[tuple(np.array(pairs).T)] = 1
+        matrix = np.array(table, float).reshape(len(number), width)
+        unit = np.array([questions[q] for q in ids], float).reshape(len(ids), width)
+        unit = unit / np.where((n := np.linalg.norm(unit, axis=1, keepdims=True)) == 0, np.nan, n)
+
+        def best(batches: Iterator[pa.RecordBatch], number=number, has=has, matrix=matrix, unit=unit, ids=ids) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            held: list[list[tuple[float, int, float]]] = [[] for _ in ids]  # compared to six decimals, then by id
+            for batch in batches:
+                for article, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    have = sorted({number[w] for w in words if w in number})
+                    if not have:
+                        continue
+                    part = has[:, have]
+                    sums = part @ matrix[have]
+                    norm = np.linalg.norm(sums, axis=1)
+                    some = np.flatnonzero((part.sum(axis=1) > 0) & (norm > 0))
+                    distance = 1 - np.einsum("ij,ij->i", sums[some], unit[some]) / norm[some]
+                    for q, d, raw in zip(some.tolist(), np.round(distance, 6).tolist(), distance.tolist(), strict=True):
+                        near = held[q]
+                        if d == d and (len(near) < k or (d, article) < near[-1][:2]):
+                            near[k - 1 :] = [(d, article, raw)]
+                            near.sort()
+            rows = [(ids[q], a, raw) for q, near in enumerate(held) for _, a, raw in near]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["question_id", "article_id", "weight"])
+
+        found = articles.select("article_id", "words").mapInArrow(best, "question_id long, article_id long, weight double")
+        out = found if out is None else out.unionByName(found)
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.round("weight", 6), "article_id"))
+    return out.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
 def score_all_words(question_words: DataFrame, postings: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(question_id, article_id, weight) of the k articles nearest to each question; all words count as often as they stand."""
-    articles = mean_vectors(postings.join(vectors, "word"), "article_id")
+    articles = mean_vectors(postings.join(vectors, "word"), "article_id", width_of(vectors))
     queries = question_vectors(question_words, vectors).select(F.col("question_id").alias("query"), F.col("qvec").alias("vec"))
     found = nearest(queries, articles.select(F.col("article_id").alias("id"), "vec"), k)
     return found.select(F.col("query").alias("question_id"), F.col("id").alias("article_id"), "weight")
@@ -130,7 +182,7 @@ def with_fallback(vocabulary: DataFrame, vectors: DataFrame, forms: DataFrame) -
     lacking = vocabulary.select("word").distinct().join(vectors, "word", "left_anti")
     bases = lacking.join(forms, lacking["word"] == forms["changed"]).select("word", "base")
     found = bases.join(vectors.select(F.col("word").alias("base"), "vec"), "base")
-    return vectors.select("word", "vec").unionByName(mean_vectors(found.select("word", "vec"), "word"))
+    return vectors.select("word", "vec").unionByName(mean_vectors(found.select("word", "vec"), "word", width_of(vectors)))
 
 
 def random_vectors(vocabulary: DataFrame, size: int, seed: int = 10) -> DataFrame:

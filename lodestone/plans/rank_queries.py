@@ -16,12 +16,12 @@ TOP = 3
 
 
 class Corpus:
-    """Postings and questions of the test tables; postings are kept, as all scoring settings start from them."""
+    """Postings and questions of the test tables; tokens are kept, as stop words, counts and scores all start from them."""
 
     def __init__(self, spark: SparkSession, sf: str, title: bool = False) -> None:
-        docs = table(spark, sf, "documents")
-        self.stop = I.stop_words(docs)
-        self.articles = I.articles(docs, self.stop, text=T.title_of(F.col("text")) if title else None)
+        tokens = I.tokenized(table(spark, sf, "documents"), title).cache()
+        self.stop = I.stop_words(tokens, tokens=F.col("content"))
+        self.articles = I.articles(tokens, self.stop, title=title)
         self.postings = I.postings(self.articles)
         self.n = self.articles.count()
         self.questions = I.questions(table(spark, sf, "benchmark"), self.stop)
@@ -299,8 +299,8 @@ avec AS (SELECT question_id, article_id, list(m ORDER BY dim) AS v FROM (SELECT
 @query(S.base(VOCAB, QVEC, _avec("qw0"), W2V_RANK))
 def w2v_rank_top0(spark: SparkSession, sf: str) -> DataFrame:
     c = Corpus(spark, sf)
-    scores = vectors.score_common_words(_all_question_words(c), c.postings.select("article_id", "word"), word_vectors(spark, sf, c.postings))
-    return shown(scores, "cosine")
+    found = vectors.rank_common_words(_all_question_words(c), c.articles, word_vectors(spark, sf, c.postings).cache(), TOP)
+    return shown(found, "cosine")
 
 
 SIMILAR = """given AS (SELECT DISTINCT word FROM qpost), near AS (SELECT a.word, b.word AS near_word, row_number() OVER (PARTITION BY a.word ORDER BY round(1 - list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[]), 9), b.word) AS place
@@ -319,7 +319,7 @@ def w2v_rank_topn(spark: SparkSession, sf: str) -> DataFrame:
     vecs, words = word_vectors(spark, sf, c.postings), _all_question_words(c)
     near = vectors.similar_words(words, vecs, 10)
     expanded = words.join(near, "word").select("question_id", F.col("similar").alias("word")).distinct()
-    return shown(vectors.score_common_words(words, c.postings.select("article_id", "word"), vecs, expanded), "cosine")
+    return shown(vectors.rank_common_words(words, c.articles, vecs.cache(), TOP, expanded), "cosine")
 
 
 @query(S.base(VOCAB, QVEC, """mvec AS (SELECT article_id, list(m ORDER BY dim) AS v FROM (SELECT article_id, dim, avg(x) AS m FROM post JOIN dims USING (word) GROUP BY ALL) GROUP BY ALL),
@@ -598,9 +598,9 @@ def questions_with_answers(spark: SparkSession, sf: str) -> DataFrame:
 def _features(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
     c, t = Corpus(spark, sf), Corpus(spark, sf, title=True)
     vecs = word_vectors(spark, sf, c.postings).cache()
-    questions = vectors.mean_vectors(_all_question_words(c).join(vecs, "word"), "question_id")
-    contents = vectors.mean_vectors(c.postings.join(vecs, "word"), "article_id")
-    titles = vectors.mean_vectors(t.postings.join(vecs, "word"), "article_id")
+    questions = vectors.mean_vectors(_all_question_words(c).join(vecs, "word"), "question_id", 64)
+    contents = vectors.mean_vectors(c.postings.join(vecs, "word"), "article_id", 64)
+    titles = vectors.mean_vectors(t.postings.join(vecs, "word"), "article_id", 64)
     answers = gold_answers(spark, sf)
     pairs = learn.training_pairs(answers, learn.random_negatives(c.articles.select("article_id"), answers, ratio=2))
     return pairs, questions, titles, contents, 64

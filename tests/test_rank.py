@@ -162,3 +162,24 @@ def test_vector_fallback(spark):
     assert {r["word"]: r["vec"] for r in vectors.with_fallback(vocabulary, vecs, forms).collect()} == {"kot": [1.0, 0.0], "kocur": [0.0, 1.0], "koty": [0.5, 0.5]}
     drawn = vectors.random_vectors(vocabulary, 3).collect()
     assert len(drawn) == 3 and drawn == vectors.random_vectors(vocabulary, 3).collect()
+
+
+def test_common_words(spark):
+    random.seed(3)
+    vecs = {w: [random.gauss(0, 1) for _ in range(3)] for w in "abcdef"}
+    table = spark.createDataFrame(list(vecs.items()), "word string, vec array<double>")
+    texts = {i: random.choices("abcdefxyz", k=6) for i in range(40)}
+    articles = spark.createDataFrame(list(texts.items()), "article_id long, words array<string>").repartition(3)
+    asked = {1: ["a", "b", "b"], 2: ["c", "x", "d"], 3: ["z"], 4: ["f"]}
+    words = spark.createDataFrame([(q, w) for q, ws in asked.items() for w in ws], "question_id long, word string")
+    mean = lambda ws: [sum(x) / len(ws) for x in zip(*(vecs[w] for w in ws), strict=True)]
+    cos = lambda a, b: 1 - sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    for size in (1 << 20, 40):
+        got = {}
+        for r in vectors.rank_common_words(words, articles, table, 3, query_bytes=size).collect():
+            got.setdefault(r["question_id"], []).append((round(r["weight"], 6), r["article_id"]))
+        for q, ws in asked.items():
+            own = [w for w in ws if w in vecs]
+            shared = {a: [w for w in set(t) if w in own] for a, t in texts.items()}
+            want = sorted((round(cos(mean(own), mean(s)), 6), a) for a, s in shared.items() if s)[:3]
+            assert sorted(got.get(q, [])) == [(abs(d), a) if not d else (d, a) for d, a in want]
