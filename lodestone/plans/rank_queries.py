@@ -480,9 +480,9 @@ def category_propagation(spark: SparkSession, sf: str) -> DataFrame:
 NORMAL = f"""{S.RATES}, x AS (SELECT *, coalesce(CASE WHEN m = 0 THEN weight WHEN regexp_matches(method, 'w2v|vector|euclidean|cosine|city') THEN 1 - weight / m ELSE weight / m END, 0) AS x FROM (SELECT *, max(weight) OVER (PARTITION BY question_id, method) AS m FROM rates))"""
 
 
-@query(f"WITH {NORMAL} SELECT question_id, article_id, method, round(x, 5) AS x FROM x")
+@query(f"WITH {NORMAL} SELECT question_id, article_id, method, round(x, 7) AS x FROM x")
 def normalise_weights(spark: SparkSession, sf: str) -> DataFrame:
-    return ensemble.normalised(event_rates(spark, sf)).select("question_id", "article_id", "method", F.round("x", 5).alias("x"))
+    return ensemble.normalised(event_rates(spark, sf)).select("question_id", "article_id", "method", F.round("x", 7).alias("x"))
 
 
 def _weights(spark: SparkSession) -> DataFrame:
@@ -517,10 +517,10 @@ def dense_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {EVENT_RANKS}, {NORMAL.split(', ', 1)[0] and NORMAL[NORMAL.index('x AS'):]}, k AS (SELECT x.question_id, x.article_id, x.method, x.x FROM x LEFT JOIN sol USING (question_id, article_id, method) WHERE sol.position IS NULL OR sol.position <= 2)
-SELECT question_id, article_id, round(coalesce(max(x) FILTER (method = 'click'), 0), 5) AS click, round(coalesce(max(x) FILTER (method = 'view'), 0), 5) AS view, (question_id, article_id) IN (SELECT (question_id, article_id) FROM sol) AS is_gold FROM k GROUP BY ALL""")
+SELECT question_id, article_id, round(coalesce(max(x) FILTER (method = 'click'), 0), 7) AS click, round(coalesce(max(x) FILTER (method = 'view'), 0), 7) AS view, (question_id, article_id) IN (SELECT (question_id, article_id) FROM sol) AS is_gold FROM k GROUP BY ALL""")
 def ea_dataset(spark: SparkSession, sf: str) -> DataFrame:
     found = ensemble.dataset(event_rates(spark, sf), event_solutions(spark, sf), ["click", "view"], worst=2)
-    return found.select("question_id", "article_id", F.round("click", 5).alias("click"), F.round("view", 5).alias("view"), "is_gold")
+    return found.select("question_id", "article_id", F.round("click", 7).alias("click"), F.round("view", 7).alias("view"), "is_gold")
 
 
 POPULATION = [(0, "click", 1.0), (0, "view", 0.0), (1, "click", 0.5), (1, "purchase", 0.5), (2, "view", 1.0), (2, "purchase", 0.25)]
