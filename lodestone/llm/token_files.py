@@ -196,9 +196,16 @@ class WordEncoder:
         lines: set[str] = set()
         made: dict[str, list[str]] = {}
         whole: list[str] = []
+        ended: list[str] = []
         for x in new:
-            if x.isalpha() and self.by_line:
+            if not self.by_line:
+                whole.append(x)
+            elif x.isalpha():
                 words.add(x)
+            elif x[-1] in ".," and x[-2:-1] < "\u0250" and x[:-1].isalpha():
+                ended.append(x)
+                if x[:-1] not in known:
+                    words.add(x[:-1])
             elif (cut := self.units(x)) is None:
                 whole.append(x)
             else:
@@ -212,6 +219,8 @@ class WordEncoder:
                 part = todo[i : i + 2000]
                 found = self.split(lead + ("\n" + lead).join(part) if lead else "".join(part)[1:], len(part))
                 known.update(zip(part, found or [self.alone(lead + u.lstrip("\n")) for u in part], strict=True))
+        for x in ended:
+            known[x] = known[x[:-1]] + marks["\r" + x[-1]]
         line = np.array(self.line, "<u4").tobytes()
         for x, cut in made.items():
             if cut != [x]:
