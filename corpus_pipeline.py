@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import common, decontaminate, pieces, secrets, simhash, toxicity
+from lodestone.llm import common, decontaminate, overlap, pieces, secrets, toxicity
 from lodestone.llm.queries import vocabulary
 
 ORACLE_SQL = None
@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies."""
-    return simhash.keep_first(docs)
+    """The first document of each group of near copies: overlap of five-word shingles of 0.8 or more."""
+    return overlap.keep_first(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("simhash near-dedup", one_of_near_copies),
+    ("near-dedup", one_of_near_copies),
     ("benchmark decontamination", decontaminated),
     ("secret scans", without_secrets),
     ("sentencepiece", encoded),

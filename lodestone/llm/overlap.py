@@ -1,0 +1,136 @@
+"""Near copies by exact Jaccard overlap of word shingles, found by bands of minimum hashes.
+
+Two texts are linked where the sets of their SHINGLE-word shingles have a Jaccard overlap of LEAST or more.  Candidates
+are pairs that agree in a band of ROWS minimum hashes, of BANDS bands: of pairs with an overlap of exactly 0.8 a share of
+(1 - 0.8 ** ROWS) ** BANDS, 5e-9, is expected to meet in none, and less of closer ones.  Every candidate is verified on
+the two sets.  Neighbours in a band's key are verified first; then all other pairs of a key that those links did not join
+already, so that a large group of copies takes work linear in its members and no candidate is dropped.
+
+Defined results: null, empty and blank texts have the empty set and are copies of each other; texts under SHINGLE words
+are one shingle; equal sets are linked whatever the texts; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import bounded_batches, store
+from .components import components
+from .simhash import CHUNK, first_of, shingle_hashes
+
+SHINGLE, ROWS, BANDS = 5, 5, 48
+#: Jaccard overlap as a ratio of integers.
+LEAST = (4, 5)
+_rng = np.random.default_rng(5)
+MULTIPLIERS = _rng.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+OFFSETS = _rng.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64)
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    at = 0
+    while at < len(texts):
+        stop, held = at, 0
+        while stop < len(texts) and (stop == at or held + len(texts[stop]) <= CHUNK):
+            held += len(texts[stop])
+            stop += 1
+        hashes, counts = shingle_hashes(texts[at:stop], size)
+        for part in np.split(hashes, np.cumsum(counts)[:-1]):
+            yield np.unique(part)
+        at = stop
+
+
+def signature(hashes: np.ndarray) -> int:
+    """A signed 64-bit hash of a set, 0 of the empty one."""
+    x = xxhash.xxh64_intdigest(hashes.tobytes(), 1) if len(hashes) else 0
+    return x - (1 << 64) if x >> 63 else x
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A signed 64-bit key for each band of a set that isn't empty."""
+    least = np.full(ROWS * BANDS, np.uint64(2**64 - 1))
+    for i in range(0, len(hashes), 4096):
+        mixed = hashes[i : i + 4096] * MULTIPLIERS[:, None] + OFFSETS[:, None]
+        least = np.minimum(least, mixed.min(axis=1))
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ column) * MIX
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
+
+
+def with_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, text_hash, fp, n, bands): signature, size and band keys of every row's set, in the shared folder."""
+    bounded_batches(docs.sparkSession)
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, n, bands = [], [], []
+            for s in shingle_sets([x or b"" for x in batch.column(2).cast(pa.binary()).to_pylist()], size):
+                fp.append(signature(s))
+                n.append(len(s))
+                bands.append(band_keys(s) if len(s) else np.empty(0, np.int64))
+            made = [pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "text_hash", "fp", "n", "bands"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return store(rows.mapInArrow(marked, "doc_id long, text_hash long, fp long, n long, bands array<long>"), "sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, marked: DataFrame, size: int) -> DataFrame:
+    """The pairs (a, b) of signatures whose sets overlap enough, by the sets themselves."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    row = F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("hash"), F.col("doc_id").isNull().alias("none"))
+    one = marked.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(row).alias("w")).select("w.*")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("hash"), F.col("doc_id").isNull().alias("none"), "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = list(shingle_sets([x or b"" for x in batch.column(0).cast(pa.binary()).to_pylist()], size))
+            yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], names=["fp", "set"])
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                common = len(np.intersect1d(s, t, assume_unique=True))
+                good.append(LEAST[1] * common >= LEAST[0] * (len(s) + len(t) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    texts = keyed.join(one, ["id", "hash", "none"], "left_semi").select("text")
+    known = store(texts.mapInArrow(sets, "fp long, set binary").dropDuplicates(["fp"]), "candidate-sets")
+    both = pairs.join(known.withColumnsRenamed({"fp": "a", "set": "x"}), "a").join(known.withColumnsRenamed({"fp": "b", "set": "y"}), "b")
+    return store(both.select("a", "b", "x", "y").mapInArrow(close, "a long, b long"), "overlaps")
+
+
+def rooted(docs: DataFrame, marked: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(fp, root) of every distinct signature; those that links join have the same root."""
+    distinct = store(marked.dropDuplicates(["fp"]).select("fp", "n", "bands"), "distinct-sets")
+    keys = distinct.select("fp", "n", F.explode("bands").alias("key"))
+    alike = lambda m, n: LEAST[1] * F.least(m, n) >= LEAST[0] * F.greatest(m, n)
+    before = Window.partitionBy("key").orderBy("fp")
+    chained = keys.select(F.lag("fp").over(before).alias("a"), F.col("fp").alias("b"), F.lag("n").over(before).alias("m"), "n")
+    pairs = store(chained.where(F.col("a").isNotNull() & alike("m", "n")).select("a", "b").distinct(), "neighbours")
+    links = _verified(pairs, docs, marked, size)
+    roots = components(links)
+    now = keys.join(roots, keys["fp"] == roots["node"], "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
+    now = store(now.join(now.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key"), "key", "left_semi"), "unjoined")
+    x, y = now.withColumnsRenamed({"fp": "a", "n": "m", "root": "r"}), now.withColumnRenamed("fp", "b")
+    rest = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("r") != F.col("root")) & alike("m", "n")).select("a", "b").distinct()
+    rest = store(rest.join(pairs, ["a", "b"], "left_anti"), "others")
+    roots = components(links.unionByName(_verified(rest, docs, marked, size)))
+    return store(distinct.select("fp").join(roots, F.col("fp") == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
+
+
+def keep_first(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """One row of each group of near copies, all columns, in the order of simhash.keep_first."""
+    marked = with_sets(docs, size)
+    return first_of(docs, marked, rooted(docs, marked, size))

@@ -217,7 +217,11 @@ def keep_first(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     Of rows that agree in both one stays.
     """
     marked = with_fingerprints(docs, size=size)
-    roots = rooted(marked)
+    return first_of(docs, marked, rooted(marked))
+
+
+def first_of(docs: DataFrame, marked: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of docs that come first in their groups: marked (doc_id, text_hash, fp), roots (fp, root)."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("hash"))
     first = marked.groupBy("fp").agg(F.min(order).alias("w")).join(roots, "fp").groupBy("root").agg(F.min("w").alias("w"))
     winners = store(first.select(F.col("w.none").alias("__none"), F.col("w.id").alias("__id"), F.col("w.hash").alias("__hash")), "winners")

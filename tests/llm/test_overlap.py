@@ -1,0 +1,77 @@
+"""Near copies by overlap against plain Python."""
+
+import random
+import re
+
+import numpy as np
+
+import corpus_pipeline
+from lodestone.llm import overlap
+
+from .cases import LOWER, documents, hard
+
+
+def brute_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return frozenset(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def brute_groups(texts):
+    sets, root = [brute_set(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if s == sets[j] or 5 * len(s & sets[j]) >= 4 * len(s | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(texts))]
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for at in rng.sample(range(len(words)), n):
+        words[at] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_copies_of_all_overlaps_match_brute_force(spark):
+    rng = random.Random(7)
+    docs = [(i if i is None else i + 1, t) for i, t in hard(spark)]
+    for g in range(12):
+        words = [f"w{rng.randrange(500)}" for _ in range(120)]
+        docs += [(1000 + 100 * g + k, edited(rng, words, k % 6)) for k in range(14)]
+    groups = brute_groups([t for _, t in docs])
+    least = {}
+    for (i, _), g in zip(docs, groups, strict=True):
+        if i is not None:
+            least[g] = min(least.get(g, i), i)
+    table = documents(spark, docs)
+    got = [r["doc_id"] for r in overlap.keep_first(table).collect()]
+    assert sorted(got, key=str) == sorted((least.get(g) for g in set(groups)), key=str)
+    assert overlap.keep_first(documents(spark, [])).count() == 0
+
+
+def test_the_stage_links_copies_of_a_little_over_four_fifths(spark, small):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    docs = [(1, " ".join(words)), (2, edited(rng, words, 6))]
+    assert brute_groups([t for _, t in docs]) == [0, 0]
+    assert [r["doc_id"] for r in corpus_pipeline.one_of_near_copies(spark, documents(spark, docs), small).collect()] == [1]
+
+
+def test_the_stage_matches_brute_force_on_documents(spark, small):
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in table.collect())
+    want = {rows[g][0] for g in brute_groups([t for _, t in rows])}
+    assert {r["doc_id"] for r in corpus_pipeline.one_of_near_copies(spark, table, small).collect()} == want
+
+
+def test_band_keys_of_close_sets_meet():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        s = rng.integers(0, 2**63, 90, dtype=np.uint64)
+        assert (overlap.band_keys(s[:81]) == overlap.band_keys(s[9:])).any()
