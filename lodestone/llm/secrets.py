@@ -1,7 +1,7 @@
 """Secret scans, with DataFrame operations only: pattern rules, and Markov models of characters for the rest.
 
-Rules find assignments to names of secrets, access keys and long hex strings.  Beyond them, tokens with a digit and at
-least LONG characters are scored by two first-order Markov models over ALPHABET, one of random strings and one of
+Rules find assignments to names of secrets, access keys and long hex strings.  Beyond them, tokens with a letter and at
+least LONG characters, fewer than which a random string often stays under LEAST_TOTAL, are scored by two first-order Markov models over ALPHABET, one of random strings and one of
 ordinary identifiers, by their log-likelihood ratio; tokens above both thresholds become spans of kind `random`, unless
 a rule's span already covers them.
 
@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SAMPLE, LONG = 2000, 20
+SAMPLE, LONG = 2000, 8
 #: Log-likelihood ratio that a token needs in all, and on average for each pair of characters.
 LEAST_TOTAL, LEAST_MEAN = 10.0, 0.4
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -32,7 +32,7 @@ RULES = {
 }
 KINDS = (*RULES, "random")
 IN = "A-Za-z0-9+/_=-"
-CANDIDATE = rf"(?<![{IN}])[A-Za-z+/_=-]*+[0-9][{IN}]*+"
+CANDIDATE = rf"(?<![{IN}])[{IN}]{{{LONG},}}+"
 MARKER = "[SECRET]"
 
 
@@ -44,7 +44,7 @@ def _quick(kind: str, text: Column) -> Column:
         return text.contains("AKIA")
     if kind == "hex":
         return text.rlike(r"[0-9a-f]{32}")
-    return text.rlike(rf"(?<![{IN}])(?=[{IN}]{{{LONG},}})[A-Za-z+/_=-]*+[0-9]")
+    return text.rlike(CANDIDATE)
 
 
 def matches(text: Column, kind: str, pattern: str, keep) -> Column:
@@ -125,32 +125,32 @@ def ratio(token: Column, model: list[float]) -> Column:
     return F.aggregate(cells, F.lit(0.0), lambda acc, i: acc + F.get(table, i))
 
 
-def spans_of(text: Column) -> tuple[Column, Column]:
-    """(spans of the rules, candidates for the models that no rule covers), each by start and kind."""
+def looks_random(token: Column, model: list[float]) -> Column:
+    score = ratio(token, model)
+    return (score >= LEAST_TOTAL) & (score >= LEAST_MEAN * (F.length(token) - 1))
+
+
+def spans_of(text: Column, model: list[float]) -> tuple[Column, Column]:
+    """(spans of the rules, tokens that the models call random), each by start and kind."""
     anything = lambda value: F.lit(True)
     long_value = lambda value: F.length(F.regexp_extract(value, RULES["assign"], 2)) >= 8
     rules = [matches(text, kind, pattern, long_value if kind == "assign" else anything) for kind, pattern in RULES.items()]
-    tokens = matches(text, "random", CANDIDATE, lambda v: (F.length(v) >= LONG) & v.rlike("[A-Za-z]"))
+    tokens = matches(text, "random", CANDIDATE, lambda v: v.rlike("[A-Za-z]") & looks_random(v, model))
     return F.array_sort(F.concat(*rules)), tokens
 
 
 def scan(docs: DataFrame, model: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs (doc_id and text, or more) with `base` and `spans`: arrays of (start, end, kind, value), by start and then kind."""
     model = train(docs, id_col=id_col, text_col=text_col) if model is None else model
-    base, tokens = spans_of(F.coalesce(F.col(text_col), F.lit("")))
+    base, tokens = spans_of(F.coalesce(F.col(text_col), F.lit("")), model)
     found = docs.withColumn("base", base).withColumn("tokens", tokens)
-    return found.withColumn("spans", with_random(F.col("base"), F.col("tokens"), model)).drop("tokens")
-
-
-def with_random(base: Column, tokens: Column, model: list[float]) -> Column:
-    """The rules' spans and, of the tokens that none covers, those that the models call random, by start and kind."""
+    return found.withColumn("spans", with_random(F.col("base"), F.col("tokens"))).drop("tokens")
 
-    def random(t: Column) -> Column:
-        score = ratio(t["value"], model)
-        covered = F.exists(base, lambda b: (b["start"] <= t["start"]) & (b["end"] >= t["end"]))
-        return ~covered & (score >= LEAST_TOTAL) & (score >= LEAST_MEAN * (F.length(t["value"]) - 1))
 
-    return F.array_sort(F.concat(base, F.filter(tokens, random)))
+def with_random(base: Column, tokens: Column) -> Column:
+    """The rules' spans and the random tokens that none of them covers, by start and kind."""
+    covered = lambda t: F.exists(base, lambda b: (b["start"] <= t["start"]) & (b["end"] >= t["end"]))
+    return F.array_sort(F.concat(base, F.filter(tokens, lambda t: ~covered(t))))
 
 
 def named(spans: Column) -> Column:
@@ -182,8 +182,8 @@ def redact(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
     """docs, all columns, with secrets replaced in the texts; n_chars, if there, is the new length where that changes."""
     model = train(docs) if model is None else model
     base, tokens = "__base_spans", "__token_spans"
-    rules, candidates = spans_of(F.coalesce(F.col("text"), F.lit("")))
-    found = docs.withColumn(base, rules).withColumn(tokens, candidates).withColumn(base, with_random(F.col(base), F.col(tokens), model))
+    rules, candidates = spans_of(F.coalesce(F.col("text"), F.lit("")), model)
+    found = docs.withColumn(base, rules).withColumn(tokens, candidates).withColumn(base, with_random(F.col(base), F.col(tokens)))
     new = redacted(F.col("text"), F.col(base))
     out = found.withColumn("text", new)
     if "n_chars" in docs.columns:

@@ -182,6 +182,14 @@ def test_markov_models_find_random_strings_only(spark):
         assert kind == "random" and t[int(a) : int(b)] == t.split()[1]
 
 
+def test_random_strings_without_digits_or_length_are_found(spark, small):
+    model = secrets.train(spark.read.parquet(f"{small}/documents.parquet"))
+    strange = ["xQvZkJwRbTqPzGfXmHcWdKyL", "Zq7xK9vB2mW4pT8r", "qXzJvKwQpRtZbGhW", "k7Qz9XvW4b"]
+    plain = "ordinary information systems of the customerorderlineitem reader module"
+    got = secrets.redact(documents(spark, [(i, f"use {t} now") for i, t in enumerate(strange)] + [(9, plain)]), model).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {**{i: "use [SECRET] now" for i in range(len(strange))}, 9: plain}
+
+
 def test_redaction(spark):
     docs = documents(spark, [(1, 'a password = "abcdefgh12" b'), (2, "clean"), (3, None), (4, "token=" + "0123456789abcdef" * 2 + "!")])
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.redact(docs).collect()}
