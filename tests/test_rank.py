@@ -142,6 +142,17 @@ def test_redirects(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7}
 
 
+def test_evolution_query_has_its_full_size(spark, tmp_path, monkeypatch):
+    from lodestone.plans import rank_queries
+
+    spark.createDataFrame([(q, e, m, 1.0) for q in range(4) for e, m in enumerate("abcd")], "user_id long, event_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    seen = []
+    monkeypatch.setattr(ensemble, "evolve", lambda spark, rates, train, validate, methods, **more: seen.append((methods, {r["method"] for r in rates.collect()}, more)) or ({"a": 1.0}, 0.5))
+    monkeypatch.setattr(rank_queries, "event_solutions", lambda *_: spark.range(2).withColumnRenamed("id", "question_id"))
+    rank_queries.ea_search(spark, str(tmp_path))
+    assert seen == [(list("abcd"), set("abcd"), {})]
+
+
 def test_nearest_in_groups(spark):
     random.seed(2)
     vecs = {f"w{i}": [random.gauss(0, 1) for _ in range(4)] for i in range(60)}
