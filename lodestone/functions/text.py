@@ -34,15 +34,26 @@ def title_of(text: Column) -> Column:
     return F.split_part(text, F.lit("\n"), F.lit(1))
 
 
+def _without_templates(text: Column) -> Column:
+    """text without templates and their arguments, innermost first, in as many passes as they are deep."""
+    braces = F.transform(F.regexp_extract_all(text, F.lit(r"\{\{|\}\}"), F.lit(0)), lambda b: F.when(b == "{{", 1).otherwise(-1))
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, b: Column) -> Column:
+        now = F.greatest(acc["now"] + b, F.lit(0))
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    passes = F.sequence(F.lit(1), F.aggregate(braces, zero, step)["most"] + 2)
+    return F.aggregate(passes, text, lambda acc, _: F.regexp_replace(acc, r"\{\{\{[^{}]*\}\}\}|\{\{[^{}]*\}\}", ""))
+
+
 def strip_markup(text: Column) -> Column:
-    """Wiki markup without nesting: comments, templates, references, headings, external links and entities go, tags
+    """Wiki markup: comments, templates of any depth, references, headings, external links and entities go, tags
     leave their contents, and a link leaves its target's title; trimmed, in lower case.
     """
     for pattern, into in (
         (r"(?s)<!--.*?-->", ""),
-        (r"\{\{\{[^{}]*\}\}\}", ""),
-        (r"(?s)\{\{[^{}]*\}\}", ""),
-        (r"(?s)\{\{[^{}]*\}\}", ""),
+        (None, None),
         (r"(?m)^=+[^=\n]+=+[ ]*$", ""),
         (r"\[\[([^\[\]|#]*)[^\[\]]*\]\]", "$1"),
         (r"\[(?:https?|ftp)://[^\]\s]*[^\]]*\]", ""),
@@ -51,7 +62,7 @@ def strip_markup(text: Column) -> Column:
         (r"</?[A-Za-z][^<>]*>", ""),
         (r"'{2,5}", ""),
     ):
-        text = F.regexp_replace(text, pattern, into)
+        text = _without_templates(text) if pattern is None else F.regexp_replace(text, pattern, into)
     return F.lower(F.trim(text))
 
 

@@ -120,6 +120,12 @@ def strip_markup(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", T.strip_markup(plain).alias("stripped"))
 
 
+@query()
+def strip_markup_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The operator on unaltered pages; the query above takes brackets and quotes out first, as its SQL does."""
+    return table(spark, sf, "pages").select("page_id", T.strip_markup(F.col("html")).alias("stripped"))
+
+
 @query("SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: i % 3 <> 1), '') AS content FROM documents")
 def sections_concat(spark: SparkSession, sf: str) -> DataFrame:
     lines = F.split("text", "\n")

@@ -44,6 +44,19 @@ def test_markup(spark):
     assert one(spark, T.strip_markup(F.col("t")), t=text).split() == ["kot", "to", "ssak", "domowy."]
 
 
+def test_deep_templates(spark):
+    deep = "kot " + "{{a|b=" * 7 + "{{{x}}}" + "}}" * 7 + " pies"
+    assert one(spark, T.strip_markup(F.col("t")), t=deep).split() == ["kot", "pies"]
+
+
+def test_markup_query_of_whole_pages(spark, tmp_path):
+    from lodestone.plans import text_queries
+
+    html = "<p>a</p>\n== B ==\n[[Kot|kota]] [http://a.b c] {{a|{{b|{{c}}}}}}" + "'" * 3 + "Pies"
+    spark.createDataFrame([(1, html)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert text_queries.strip_markup_whole(spark, str(tmp_path)).first()["stripped"].split() == ["a", "kot", "pies"]
+
+
 def test_redirects_and_titles(spark):
     target = lambda t, l: one(spark, T.redirect_target(F.col("t"), F.col("l"), "#patrz"), t=t, l=l)
     assert target("#PATRZ [[x]]", "Nowa_strona#Część") == "Nowa strona"
