@@ -153,6 +153,13 @@ def test_evolution_query_has_its_full_size(spark, tmp_path, monkeypatch):
     assert seen == [(list("abcd"), set("abcd"), {})]
 
 
+def test_long_redirects(spark):
+    edges = [(i, i - 1) for i in range(2, 301)] + [(1000 + i, 1000 + (i + 1) % 150) for i in range(150)]
+    articles = spark.createDataFrame([(i,) for i in [*range(1, 301), *range(1000, 1150)]], "article_id long")
+    got = {r["article_id"]: r["target"] for r in graph.resolve_redirects(spark.createDataFrame(edges, "article_id long, redirected_to long"), articles).collect()}
+    assert got == {**{i: 1 for i in range(1, 301)}, **{i: 1000 for i in range(1000, 1150)}}
+
+
 def test_nearest_in_groups(spark):
     random.seed(2)
     vecs = {f"w{i}": [random.gauss(0, 1) for _ in range(4)] for i in range(60)}
