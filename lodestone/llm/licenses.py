@@ -82,8 +82,9 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, k: int = K, id_c
     )
     near = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(near)
-    # a phrase's diagonals stay apart: each is a place of its own
-    begins = F.when(F.col("template").isNull() | F.col("phrase") | apart.isNull() | (apart > GAP), 1).otherwise(0)
+    # a phrase's diagonals stay apart, and so does one with all votes of its template: each is a place of its own
+    whole = F.col("votes") == F.col("grams")
+    begins = F.when(F.col("template").isNull() | F.col("phrase") | apart.isNull() | (apart > GAP) | whole | F.lag(whole).over(near), 1).otherwise(0)
     grouped = votes.withColumn("begins", begins).withColumn("cluster", F.sum("begins").over(near))
     spans = grouped.groupBy(*key, "template", "cluster").agg(
         F.sum("votes").alias("votes"), F.min("low").alias("low"), (F.max("high") + k - 1).alias("high"), F.first("phrase").alias("phrase"), F.first("label").alias("label"), F.first("grams").alias("grams")

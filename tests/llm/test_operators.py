@@ -479,6 +479,12 @@ def test_license_diagonals_bear_edits(spark):
     assert got[2]["labels"] == "" and 0 < got[2]["score"] < 0.6 and got[3]["score"] == 0
 
 
+def test_license_repeated_back_to_back(spark):
+    docs = [(1, "All rights reserved."), (2, "All rights reserved.\n" * 2), (3, "x " + "All rights reserved. " * 5)]
+    got = {r["doc_id"]: r for r in licenses.scan(documents(spark, docs)).collect()}
+    assert [(got[i]["labels"], len(got[i]["spans"])) for i in (1, 2, 3)] == [("all-rights-reserved", n) for n in (1, 2, 5)]
+
+
 # --- chat
 
 
