@@ -513,7 +513,8 @@ def dense_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Sources are numbered among themselves first; the numbers then meet the documents."""
     docs = table(spark, sf, "documents")
     names = docs.select("source").distinct()
-    return docs.join(F.broadcast(names.withColumn("rank", F.dense_rank().over(Window.orderBy("source")).cast("long"))), "source").select("doc_id", "rank")
+    ranked = names.select(F.col("source").alias("name"), F.dense_rank().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long").alias("rank"))
+    return docs.join(ranked, F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "rank")
 
 
 @query(f"""WITH {EVENT_RANKS}, {NORMAL.split(', ', 1)[0] and NORMAL[NORMAL.index('x AS'):]}, k AS (SELECT x.question_id, x.article_id, x.method, x.x FROM x LEFT JOIN sol USING (question_id, article_id, method) WHERE sol.position IS NULL OR sol.position <= 2)

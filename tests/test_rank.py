@@ -160,6 +160,13 @@ def test_long_redirects(spark):
     assert got == {**{i: 1 for i in range(1, 301)}, **{i: 1000 for i in range(1000, 1150)}}
 
 
+def test_dense_ids_keep_rows_without_source(spark, tmp_path):
+    from lodestone.plans import rank_queries
+
+    spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "b")], "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["rank"] for r in rank_queries.dense_ids(spark, str(tmp_path)).collect()} == {1: 2, 2: 3, 3: 1, 4: 2}
+
+
 def test_nearest_in_groups(spark):
     random.seed(2)
     vecs = {f"w{i}": [random.gauss(0, 1) for _ in range(4)] for i in range(60)}
