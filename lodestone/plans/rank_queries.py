@@ -468,13 +468,20 @@ def link_reverse(spark: SparkSession, sf: str) -> DataFrame:
     return graph.propagate_links(*_links(spark, sf), 0.5, reverse=True).select("question_id", "article_id", F.round("weight", 4).alias("weight"))
 
 
-@query("""WITH scores AS (SELECT user_id AS question_id, event_id % 50 AS article_id, max(value) AS weight FROM events GROUP BY ALL), m AS (SELECT doc_id AS article_id, source AS category FROM documents),
+#: A document is in the categories of its source, its language and its id's remainder; each counts its two best.
+MEMBERS = "m AS (SELECT doc_id AS article_id, unnest(list_distinct([source, lang, 'm' || (doc_id % 5)])) AS category FROM documents)"
+
+
+@query(f"""WITH scores AS (SELECT user_id AS question_id, event_id % 50 AS article_id, max(value) AS weight FROM events GROUP BY ALL), {MEMBERS},
 f AS (SELECT question_id, category, weight, row_number() OVER (PARTITION BY question_id, category ORDER BY round(weight, 6) DESC, s.article_id) AS place FROM scores s JOIN m ON m.article_id = s.article_id),
-c AS (SELECT question_id, category, sum(weight) * sqrt(count(*)) AS weight FROM f WHERE place <= 10 GROUP BY ALL)
-SELECT question_id, article_id, round(sum(weight) * sqrt(count(*)), 4) AS weight FROM m JOIN c USING (category) GROUP BY ALL""")
+c AS (SELECT question_id, category, sum(weight) * sqrt(count(*)) AS weight FROM f WHERE place <= 10 GROUP BY ALL),
+g AS (SELECT question_id, article_id, weight, row_number() OVER (PARTITION BY question_id, article_id ORDER BY round(weight, 6) DESC, category) AS place FROM m JOIN c USING (category))
+SELECT question_id, article_id, round(sum(weight) * sqrt(count(*)), 4) AS weight FROM g WHERE place <= 2 GROUP BY ALL""")
 def category_propagation(spark: SparkSession, sf: str) -> DataFrame:
-    members = table(spark, sf, "documents").select(F.col("doc_id").alias("article_id"), F.col("source").alias("category"))
-    return graph.propagate_categories(_links(spark, sf)[0], members, 0.5).select("question_id", "article_id", F.round("weight", 4).alias("weight"))
+    names = F.array_distinct(F.array("source", "lang", F.concat(F.lit("m"), F.col("doc_id") % 5)))
+    members = table(spark, sf, "documents").select(F.col("doc_id").alias("article_id"), F.explode(names).alias("category"))
+    found = graph.propagate_categories(_links(spark, sf)[0], members, 0.5, categories_top=2)
+    return found.select("question_id", "article_id", F.round("weight", 4).alias("weight"))
 
 
 NORMAL = f"""{S.RATES}, x AS (SELECT *, coalesce(CASE WHEN m = 0 THEN weight WHEN regexp_matches(method, 'w2v|vector|euclidean|cosine|city') THEN 1 - weight / m ELSE weight / m END, 0) AS x FROM (SELECT *, max(weight) OVER (PARTITION BY question_id, method) AS m FROM rates))"""

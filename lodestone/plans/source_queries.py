@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,18 +9,13 @@ from ..functions import text as T
 from ..operators import index as I
 from ..operators import ranking, tfidf
 from ..sources import readers
+from ..storage import place
 from ..streaming import questions as stream
 from . import sql as S
 from .rank_queries import TOP, Corpus
 from .registry import query, table
 
 
-def place(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share, or in a local one where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
-    return f"{root.rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"SELECT split_part(text, chr(10), 1) AS title, CAST(len({S.DOC_TOKENS}) AS BIGINT) AS n_words FROM (SELECT text FROM documents)")
 def json_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Articles through gzipped JSON lines, a section for each line after the title."""
