@@ -1,19 +1,23 @@
-"""Chat formatting with a grammar round trip, with DataFrame operations only.
+r"""Chat formatting with a grammar round trip, with DataFrame operations only.
 
 A conversation is written as
 
     <|chat:L|>                                   L is the escape level, 0 or 1
     <|turn|>role<|text|>text<|end|>              for each turn
 
-without anything between.  At level 0 roles and texts stand as they are.  The rendered string is parsed again by a
-deterministic parser (it cuts at the end marks, then at the first text mark); where what it recovers is not the source,
-the conversation is written at level 1: a backslash goes before each backslash and inside each `<|`, so no control
-string is left in a role or text, and the parser takes the backslashes out again.  The last round trip is part of the
-result: `identical` is true for every conversation.
+without anything between.  At level 0 roles and texts stand as they are; at level 1 a backslash goes before each
+backslash and inside each `<|`, so that no role or text holds a control string.
+
+The parser is deterministic and strict: the control strings of the whole must be the head and then turn, text, end for
+each turn, with nothing between the head, an end and what follows.  A control string inside a role or text breaks that
+order or, where a field spells out whole turns, makes other turns.  Conversations are rendered at level 0 and parsed
+again; where the parser refuses them, or recovers other turns than the source's, or a field holds a control string, they
+are rendered at level 1.  The last round trip is part of the result: `identical` is true for every conversation.
 
 Turns are ordered by turn, then role, then text, nulls first; null roles and texts are empty; repeated rows are turns of
-their own; rows with a null conv_id are one conversation; an empty table gives no rows.  A conversation is one value by
-its nature; what is gathered for it is its own turns only.
+their own; each row with a null conv_id is a conversation of one turn, since nothing says that two of them belong
+together; an empty table gives no rows.  A conversation is one value by its nature; what is gathered for it is its own
+turns only.
 """
 
 from __future__ import annotations
@@ -21,7 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, let, page_range, pages, running
+
 HEAD, TURN, TEXT, END = "<|chat:{}|>", "<|turn|>", "<|text|>", "<|end|>"
+CONTROL = r"<\|(?:chat:[0-9]+|turn|text|end)\|>"
 LEVELS = 2
 ROLE = "assistant"
 
@@ -45,70 +52,72 @@ def level_of(formatted: Column) -> Column:
 
 
 def segments(formatted: Column) -> Column:
-    """What stands before each end mark, as (role, text) still escaped; the parser's first pass."""
-    head = len(HEAD.format(0))
-    body = F.substring(formatted, head + 1, 2147483647)
-    cut = F.split(body, r"<\|end\|>")
-    whole = F.slice(cut, F.lit(1), F.size(cut) - 1)
+    """(role, text) of each turn, still escaped; null if the string is not of the grammar."""
+    marks = F.regexp_extract_all(formatted, F.lit(CONTROL), F.lit(0))
 
-    def turn(x: Column) -> Column:
-        at = F.instr(x, TEXT)
-        role = F.when(at > 0, F.substr(x, F.lit(len(TURN) + 1), F.greatest(at - 1 - len(TURN), F.lit(0)))).otherwise(F.lit(""))
-        text = F.when(at > 0, F.substr(x, at + len(TEXT))).otherwise(F.lit(""))
-        return F.struct(role.alias("role"), text.alias("text"))
+    def read(pieces: Column) -> Column:
+        n = F.floor((F.size(pieces) - 2) / 3).cast("int")  # a piece before the head, one after it, three a turn
+        heads = F.lit(HEAD.format(0)), F.lit(HEAD.format(1))
+        order = F.repeat(F.lit(TURN + TEXT + END), n)
+        ordered = let(F.array_join(marks, ""), lambda m: (m == F.concat(heads[0], order)) | (m == F.concat(heads[1], order)))
+        number = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        bare = (F.get(pieces, 0) == "") & (F.get(pieces, 1) == "") & F.forall(number, lambda i: F.get(pieces, i * 3 + 1) == "")
+        turns = F.transform(number, lambda i: F.struct(F.get(pieces, i * 3 - 1).alias("role"), F.get(pieces, i * 3).alias("text")))
+        return F.when((F.size(pieces) == n * 3 + 2) & bare & ordered, turns)
 
-    return F.transform(whole, turn)
+    return let(F.split(formatted, CONTROL, -1), read)
 
 
 def parsed(formatted: Column) -> Column:
-    """The turns of a formatted conversation as (role, text)."""
+    """The turns of a formatted conversation as (role, text); null if it isn't of the grammar."""
     level = level_of(formatted)
     return F.transform(segments(formatted), lambda t: F.struct(unescaped(t["role"], level).alias("role"), unescaped(t["text"], level).alias("text")))
 
 
 def with_spans(raw: Column) -> Column:
     """(role, start, length) in code points of each turn's escaped text in the formatted string."""
-    zero = F.struct(F.lit(len(HEAD.format(0))).cast("long").alias("at"), F.array().cast("array<struct<role:string,start:bigint,length:bigint>>").alias("spans"))
+    marks = len(TURN) + len(TEXT) + len(END)
+    sizes = F.transform(raw, lambda t: (F.length(t["role"]) + F.length(t["text"]) + marks).cast("long"))
+    first = len(HEAD.format(0)) + len(TURN) + len(TEXT)
 
-    def step(acc: Column, t: Column) -> Column:
-        start = acc["at"] + len(TURN) + F.length(t["role"]) + len(TEXT)
-        span = F.struct(t["role"].alias("role"), start.cast("long").alias("start"), F.length(t["text"]).cast("long").alias("length"))
-        return F.struct((start + F.length(t["text"]) + len(END)).cast("long").alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def span(t: Column, before: Column) -> Column:
+        return F.struct(t["role"].alias("role"), (before + first + F.length(t["role"])).alias("start"), F.length(t["text"]).cast("long").alias("length"))
 
-    return F.aggregate(raw, zero, step)["spans"]
+    return F.zip_with(raw, running(sizes), span)
 
 
 def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", role: str = ROLE) -> DataFrame:
     """conv_id, formatted, level, identical, and loss_spans: (start, length) of the escaped texts under the loss mask."""
     empty = F.lit("")
     turn = F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), empty).alias("role"), F.coalesce(F.col(text_col), empty).alias("text"))
-    source = rows.groupBy(F.col(conv_col).cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    number = F.when(F.col(conv_col).isNull(), F.monotonically_increasing_id())
+    named = rows.select(F.col(conv_col).cast("long").alias("conv_id"), turn.alias("t"), number.alias("alone"))
+    source = named.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     source = source.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
-    tried = source
-    chosen: Column = F.col(f"try{LEVELS - 1}")
-    for level in range(LEVELS):
-        tried = tried.withColumn(f"try{level}", rendered(F.col("turns"), level))
-    for level in reversed(range(LEVELS - 1)):
-        chosen = F.when(parsed(F.col(f"try{level}")) == F.col("turns"), F.col(f"try{level}")).otherwise(chosen)
-    made = tried.select("conv_id", "turns", chosen.alias("formatted"))
-    made = made.select("conv_id", "formatted", level_of(F.col("formatted")).alias("level"), (parsed(F.col("formatted")) == F.col("turns")).alias("identical"), segments(F.col("formatted")).alias("raw"))
-    wanted = F.filter(with_spans(F.col("raw")), lambda s: s["role"] == role)
-    return made.select("conv_id", "formatted", "level", "identical", F.transform(wanted, lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"))).alias("loss_spans"))
+    tried = source.select("*", *[rendered(F.col("turns"), level).alias(f"try{level}") for level in range(LEVELS)])
+    tried = tried.select("*", segments(F.col("try0")).alias("raw0"))
+    plain = F.coalesce(F.col("raw0") == F.col("turns"), F.lit(False))
+    made = tried.select("conv_id", "turns", F.when(plain, F.col("try0")).otherwise(F.col("try1")).alias("formatted"))
+    made = made.select("*", segments(F.col("formatted")).alias("raw"), level_of(F.col("formatted")).alias("level"))
+    back = F.transform("raw", lambda t: F.struct(unescaped(t["role"], F.col("level")).alias("role"), unescaped(t["text"], F.col("level")).alias("text")))
+    wanted = F.filter(with_spans(F.col("raw")), lambda s: unescaped(s["role"], F.col("level")) == role)
+    loss = F.transform(wanted, lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
+    return made.select("conv_id", "formatted", "level", F.coalesce(back == F.col("turns"), F.lit(False)).alias("identical"), loss.alias("loss_spans"))
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
     """What formatted conversations hold, from the strings and their loss spans alone."""
     text, level = F.col("formatted"), F.col("level")
-    turns = parsed(text)
-    masked = F.transform("loss_spans", lambda s: unescaped(F.substr(text, (s["start"] + 1).cast("int"), s["length"].cast("int")), level))
-    read = formatted.select("conv_id", "identical", F.length(text).cast("long").alias("formatted_chars"), turns.alias("turns"), F.array_join(masked, "").alias("loss"))
-    line = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    masked = let(pages(text), lambda cut: F.transform("loss_spans", lambda s: unescaped(page_range(cut, s["start"], s["start"] + s["length"]), level)))
+    turns, loss = fresh(formatted.columns, "turns", "loss")
+    read = formatted.select("conv_id", "identical", F.length(text).cast("long").alias("formatted_chars"), parsed(text).alias(turns), F.array_join(masked, "").alias(loss))
+    line = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
+        F.size(turns).cast("long").alias("n_turns"),
         F.sha2(line.cast("binary"), 256).alias("turns_sha256"),
-        F.length("loss").cast("long").alias("loss_chars"),
-        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(F.col(loss).cast("binary"), 256).alias("loss_sha256"),
         "formatted_chars",
         "identical",
     )

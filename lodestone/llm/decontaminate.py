@@ -17,19 +17,22 @@ Defined results: null or wordless documents have no words, no hits and are not c
 have no windows; repeated rows are kept, each with its own result; items that share an item_id are one item with all
 their windows; an item with a null item_id hits words but has no name, so it isn't counted; empty tables give no rows,
 or rows without hits.
+
+A filtering stage takes out every document with a whole window, however long the document (`keep_clean`); the share of
+hit words decides only about items too short for a window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, store
+from .common import bounded_batches, fresh, store
 
 WINDOW, SHARE = 13, 20
 #: Bytes of text in a block of the index; a longer document is a block of its own.
@@ -203,7 +206,7 @@ class Plan:
         ends = np.cumsum([len(t) for t in self.terms]).astype(np.int64)
         starts = np.r_[0, ends[:-1]].astype(np.int64) if len(ends) else ends
         self.hashes = word_hashes(raw, starts, ends, BASES[0])
-        self.windows, self.items = list(windows), list(windows.values())
+        self.windows, self.items, self.size = list(windows), list(windows.values()), size
         self.flat = np.array([t for w in self.windows for t in w], np.int64)
         self.begins = np.cumsum([0, *(len(w) for w in self.windows)])[:-1].astype(np.int64)
         self.order: list[list[int]] = []
@@ -279,6 +282,17 @@ def _plans(index: DataFrame, items: DataFrame, size: int, scan_bytes: int) -> It
         yield plan
 
 
+def joined_spans(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of words, those that meet or overlap made one."""
+    merged: list[list[int]] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    return [(a, b) for a, b in merged]
+
+
 def _search(index: DataFrame, plan: Plan) -> DataFrame:
     """A row for each document of the index: its number in the index, words, the spans that are hit, and the items."""
 
@@ -290,33 +304,31 @@ def _search(index: DataFrame, plan: Plan) -> DataFrame:
             origin = before + WINDOW_GAP * np.arange(docs)
             spans: dict[int, list[tuple[int, int]]] = {}
             items: dict[int, set[str]] = {}
+            wholes = np.zeros(docs, np.int64)
             for w, starts in plan.phrases(block):
                 of = np.searchsorted(origin, starts, side="right") - 1
                 # documents without words share an origin's place with none of the positions
                 for doc, at in zip(of.tolist(), (starts - origin[of]).tolist(), strict=True):
                     spans.setdefault(doc, []).append((at, at + len(plan.windows[w])))
                     items.setdefault(doc, set()).update(plan.items[w])
+                    wholes[doc] += len(plan.windows[w]) == plan.size
             ranges, names, hits = [], [], np.zeros(docs, np.int64)
             for doc in range(docs):
-                merged: list[list[int]] = []
-                for a, b in sorted(spans.get(doc, ())):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
+                merged = joined_spans(spans.get(doc, ()))
                 hits[doc] = sum(b - a for a, b in merged)
                 ranges.append([x for ab in merged for x in ab])
                 names.append(sorted(items.get(doc, ())))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block.number] * docs, pa.int64()), pa.array(np.arange(docs)), pa.array(block.doc_ids, pa.int64(), mask=block.known == 0), pa.array(block.text_hashes, pa.int64()), pa.array(words), pa.array(hits), pa.array(ranges, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))],
-                names=["block", "at", "doc_id", "text_hash", "n_words", "n_hit", "spans", "items"],
+                [pa.array([block.number] * docs, pa.int64()), pa.array(np.arange(docs)), pa.array(block.doc_ids, pa.int64(), mask=block.known == 0), pa.array(block.text_hashes, pa.int64()), pa.array(words), pa.array(hits), pa.array(wholes), pa.array(ranges, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))],
+                names=["block", "at", "doc_id", "text_hash", "n_words", "n_hit", "n_whole", "spans", "items"],
             )
 
-    return index.mapInArrow(found, "block long, at long, doc_id long, text_hash long, n_words long, n_hit long, spans array<long>, items array<string>")
+    return index.mapInArrow(found, "block long, at long, doc_id long, text_hash long, n_words long, n_hit long, n_whole long, spans array<long>, items array<string>")
 
 
 def search(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, item_col: str = "item_id", text_col: str = "text", scan_bytes: int = SCAN_BYTES) -> DataFrame:
-    """doc_id, text_hash, n_words, n_hit, spans (word ranges, flat: start, end, ...) and items of every document of the index."""
+    """doc_id, text_hash, n_words, n_hit, n_whole (occurrences of windows of `size` words), spans (word ranges, flat:
+    start, end, ...) and items of every document of the index."""
     if size > WINDOW_GAP:
         raise ValueError(f"windows have at most {WINDOW_GAP} words")
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text"))
@@ -329,20 +341,20 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    grouped = rows.groupBy("block", "at", "doc_id", "text_hash", "n_words").agg(
-        F.flatten(F.collect_list("spans")).alias("flat"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    key = ["block", "at", "doc_id", "text_hash", "n_words"]
+    grouped = rows.groupBy(*key).agg(
+        F.sum("n_whole").alias("n_whole"), F.flatten(F.collect_list("spans")).alias("flat"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
-    number = F.when(F.size("flat") > 0, F.sequence(F.lit(0), F.floor(F.size("flat") / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    pairs = F.array_sort(F.transform(number, lambda i: F.struct(F.get("flat", i * 2).alias("a"), F.get("flat", i * 2 + 1).alias("b"))))
 
-    def grown(spans: Column, p: Column) -> Column:
-        last = F.get(spans, F.size(spans) - 1)
-        longer = F.concat(F.slice(spans, F.lit(1), F.size(spans) - 1), F.array(F.greatest(last, p["b"])))
-        return F.when((F.size(spans) > 0) & (p["a"] <= last), longer).otherwise(F.concat(spans, F.array(p["a"], p["b"])))
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [joined_spans(zip(x[::2], x[1::2], strict=True)) for x in batch.column("flat").to_pylist()]
+            names = ["doc_id", "text_hash", "n_words", "n_whole", "items"]
+            hits, spans = pa.array([sum(b - a for a, b in m) for m in made], pa.int64()), pa.array([[x for ab in m for x in ab] for m in made], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), hits, spans], names=[*names, "n_hit", "spans"])
 
-    spans = F.aggregate(pairs, F.array().cast("array<long>"), grown)
-    hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
-    return grouped.withColumn("spans", spans).select("doc_id", "text_hash", "n_words", hit.alias("n_hit"), "spans", "items")
+    done = grouped.mapInArrow(joined, "doc_id long, text_hash long, n_words long, n_whole long, items array<string>, n_hit long, spans array<long>")
+    return done.select("doc_id", "text_hash", "n_words", "n_hit", "n_whole", "spans", "items")
 
 
 def proximity(index: DataFrame, benchmark: DataFrame, slop: int, size: int = WINDOW, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -383,9 +395,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sha
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """The rows of docs, all columns, that aren't contaminated."""
+    """The rows of docs, all columns, without those that hold a window of `size` benchmark words.
+
+    One passage is enough, in a text of any length: a long document with a passage leaks it as a short one does.  Items
+    under `size` words can stand in clean texts by chance; where a text holds only such, 1 / share of its words or more
+    must be theirs.
+    """
     found = search(build_index(docs), benchmark, size)
-    bad = found.where((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
-    gone = store(bad.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "contaminated")
+    bad = found.where((F.col("n_whole") > 0) | ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))))
+    of, print_ = fresh(docs.columns, "of", "print")
+    gone = store(bad.select(F.col("doc_id").alias(of), F.col("text_hash").alias(print_)).distinct(), "contaminated")
     # Spark broadcasts the stored table only if its size is under the session's threshold.
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__hash"]), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone[of]) & (F.xxhash64(docs["text"]) == gone[print_]), "left_anti")

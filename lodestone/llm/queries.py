@@ -105,7 +105,7 @@ WITH given AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '')
 UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 whole AS (SELECT conv_id, count(*) AS n_turns, string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t) AS said,
 coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, t) FILTER (r = 'assistant'), '') AS loss,
-bool_or(contains(r, '<|end|>') OR contains(t, '<|end|>') OR contains(r, '<|text|>')) AS escaped,
+bool_or(regexp_matches(r || chr(10) || t, '<\|(chat:[0-9]+|turn|text|end)\|>')) AS escaped,
 sum(length(r) + length(t) + 23)::BIGINT AS plain,
 sum(length(r || ' ' || t) - length(replace(r || ' ' || t, '\', '')) + (length(r || ' ' || t) - length(replace(r || ' ' || t, '<|', ''))) // 2)::BIGINT AS more
 FROM given GROUP BY conv_id)

@@ -1,8 +1,8 @@
 """Secret scans, with DataFrame operations only: pattern rules, and Markov models of characters for the rest.
 
-Rules find assignments to names of secrets, access keys and long hex strings.  Beyond them, tokens with a letter and at
-least LONG characters, fewer than which a random string often stays under LEAST_TOTAL, are scored by two first-order Markov models over ALPHABET, one of random strings and one of
-ordinary identifiers, by their log-likelihood ratio; tokens above both thresholds become spans of kind `random`, unless
+Rules find assignments to names of secrets, access keys and long hex strings.  Beyond them, tokens with a letter and at least
+LONG characters, fewer than which a random string often stays under LEAST_TOTAL, are scored by two first-order Markov
+models over ALPHABET, one of random strings and one of ordinary identifiers, by their log-likelihood ratio; tokens above both thresholds become spans of kind `random`, unless
 a rule's span already covers them.
 
 The models are trained from labelled samples: strings made from digests in the alphabets that keys use (random), and
@@ -20,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh, furthest, let, page_range, pages, running
+
 SAMPLE, LONG = 2000, 8
 #: Log-likelihood ratio that a token needs in all, and on average for each pair of characters.
 LEAST_TOTAL, LEAST_MEAN = 10.0, 0.4
@@ -48,24 +50,26 @@ def _quick(kind: str, text: Column) -> Column:
 
 
 def matches(text: Column, kind: str, pattern: str, keep) -> Column:
-    """Spans (start, end, kind, value) of leftmost non-overlapping matches that keep(match, chunk) accepts.
+    """Spans (start, end, kind, value) of leftmost non-overlapping matches that keep(match) accepts.
 
-    The text is cut into chunks that end with a match each, in one linear pass; the last chunk is what is left.
+    The text is cut into chunks that end with a match each; the last chunk is what is left.  A match ends where the
+    lengths of its chunk and of those before it add up to.
     """
     chunks = F.regexp_extract_all(text, F.lit(rf"(?s).*?(?:{pattern}|\z)"), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("found"))
+    value = lambda c: F.regexp_extract(c, f"{pattern}\\z", 0)
+
+    def span(chunk: Column, before: Column) -> Column:
+        end = (before + F.length(chunk)).cast("int")
+        return let(value(chunk), lambda v: F.struct((end - F.length(v)).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), v.alias("value")))
 
-    def step(acc: Column, chunk: Column) -> Column:
-        value, end = F.regexp_extract(chunk, f"{pattern}\\z", 0), acc["at"] + F.length(chunk)
-        span = F.struct((end - F.length(value)).alias("start"), end.alias("end"), value.alias("value"))
-        good = (F.length(value) > 0) & keep(value)
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
+    def found(cs: Column) -> Column:
+        sizes = F.transform(cs, lambda c: F.length(c).cast("long"))
+        return F.filter(F.zip_with(cs, running(sizes), span), lambda s: (F.length(s["value"]) > 0) & keep(s["value"]))
 
-    spans = F.transform(F.aggregate(chunks, zero, step)["found"], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(KINDS.index(kind)).alias("kind"), s["value"].alias("value")))
-    return F.when(_quick(kind, text), spans).otherwise(F.array().cast(SPANS))
+    return F.when(_quick(kind, text), let(chunks, found).cast(SPANS)).otherwise(F.array().cast(SPANS))
 
 
-SPANS = "array<struct<start:int,end:int,kind:int,value:string>>"
+SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
 def _pairs(words: DataFrame, label: str) -> DataFrame:
@@ -82,8 +86,9 @@ def labelled_samples(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_i
     made = spark.range(4 * sample, numPartitions=1)
     upper = F.upper(F.regexp_replace(base64, "[^A-Za-z0-9]", ""))
     random = made.select(F.when(F.col("id") % 4 == 0, digest).when(F.col("id") % 4 == 1, base64).when(F.col("id") % 4 == 2, upper).otherwise(F.translate(base64, "+/", "-_")).alias("word"), F.lit(1).alias("n"))
-    chosen = docs.select(F.col(id_col).alias("of")).orderBy(F.xxhash64("of"), "of").limit(sample)
-    texts = docs.join(F.broadcast(chosen.distinct()), F.col(id_col) == F.col("of")).select(F.col(text_col).alias("text"))
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    chosen = given.select(F.col("id").alias("of")).orderBy(F.xxhash64("of"), "of").limit(sample)
+    texts = given.join(F.broadcast(chosen.distinct()), F.col("id") == F.col("of")).select("text")
     words = texts.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     h = F.pmod(F.xxhash64("word"), F.lit(16))
     sep = F.element_at(F.array(*[F.lit(x) for x in "_-/="]), (h % 4 + 1).cast("int"))
@@ -118,11 +123,16 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
 
 
 def ratio(token: Column, model: list[float]) -> Column:
-    """The log-likelihood ratio of a token's characters, each after the one before."""
-    table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")
-    codes = F.transform(F.split(token, ""), lambda c: F.position(c, F.lit(ALPHABET)) - 1)
-    cells = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: a * len(ALPHABET) + b)
-    return F.aggregate(cells, F.lit(0.0), lambda acc, i: acc + F.get(table, i))
+    """The log-likelihood ratio of a token's characters (of ALPHABET), each after the one before."""
+    place = {ord(c): i for i, c in enumerate(ALPHABET)}
+    size, last = len(ALPHABET), max(place) + 1
+    # a cell for each pair of character codes, so that a code is its own place
+    cells = ["0" if a not in place or b not in place else str(model[place[a] * size + place[b]]) for a in range(last) for b in range(last)]
+    table = F.split(F.lit(",".join(cells)), ",").cast("array<double>")
+    codes = F.transform(F.split(token, ""), F.ascii)
+    first = F.struct(F.lit(0).alias("was"), F.lit(0.0).alias("sum"))
+    step = lambda acc, c: F.struct(c.alias("was"), (acc["sum"] + F.get(table, acc["was"] * last + c)).alias("sum"))
+    return F.aggregate(codes, first, step)["sum"]
 
 
 def looks_random(token: Column, model: list[float]) -> Column:
@@ -140,17 +150,27 @@ def spans_of(text: Column, model: list[float]) -> tuple[Column, Column]:
 
 
 def scan(docs: DataFrame, model: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs (doc_id and text, or more) with `base` and `spans`: arrays of (start, end, kind, value), by start and then kind."""
+    """(id_col, text_col, base, spans) of every row: arrays of (start, end, kind, value), by start and then kind."""
     model = train(docs, id_col=id_col, text_col=text_col) if model is None else model
     base, tokens = spans_of(F.coalesce(F.col(text_col), F.lit("")), model)
-    found = docs.withColumn("base", base).withColumn("tokens", tokens)
-    return found.withColumn("spans", with_random(F.col("base"), F.col("tokens"))).drop("tokens")
+    a, b = fresh([id_col, text_col], "base", "tokens")
+    found = docs.select(id_col, text_col, base.alias(a), tokens.alias(b))
+    return found.select(id_col, text_col, a, with_random(F.col(a), F.col(b)).alias("spans"))
 
 
 def with_random(base: Column, tokens: Column) -> Column:
-    """The rules' spans and the random tokens that none of them covers, by start and kind."""
-    covered = lambda t: F.exists(base, lambda b: (b["start"] <= t["start"]) & (b["end"] >= t["end"]))
-    return F.array_sort(F.concat(base, F.filter(tokens, lambda t: ~covered(t))))
+    """The rules' spans and the random tokens that none of them covers, by start and kind.
+
+    Spans of a rule don't overlap, so of the rules' spans that begin at or before a token's start only the last of each
+    kind can cover it.  All spans are sorted at once, by start and with a token after the rules' spans of its start, and
+    one pass over them knows the furthest end so far.
+    """
+    random = F.lit(KINDS.index("random"))
+    alone = F.size(base) == 0
+    every = F.array_sort(F.concat(base, tokens))
+    ends = lambda xs: F.transform(xs, lambda s: F.when(s["kind"] == random, F.lit(0)).otherwise(s["end"]))
+    kept = let(every, lambda xs: F.filter(F.zip_with(xs, furthest(ends(xs)), lambda s, far: F.when((s["kind"] != random) | (far < s["end"]), s)), lambda s: s.isNotNull()))
+    return F.when(alone, tokens).otherwise(F.when(F.size(tokens) == 0, base).otherwise(kept))
 
 
 def named(spans: Column) -> Column:
@@ -166,26 +186,29 @@ def report(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """text with each stretch that spans cover replaced by MARKER."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """text with each stretch that spans (by start) cover or join up to replaced by MARKER."""
+    stretches = lambda xs: F.zip_with(xs, furthest(F.transform(xs, lambda s: s["end"])), lambda s, far: F.struct(s["start"].alias("start"), s["end"].alias("end"), far.alias("far")))
+
+    def piece(cut: Column, s: Column) -> Column:
+        """What stands between the span and those before it, and the marker, unless the span is a part of their stretch."""
+        at = F.greatest(s["far"], F.lit(0))
+        return F.when(s["start"] < at, "").otherwise(F.concat(page_range(cut, at, s["start"]), F.lit(MARKER)))
 
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        out = F.when((s["start"] < acc["at"]) & (s["end"] >= acc["at"]), acc["out"]).otherwise(F.concat(acc["out"], kept, F.lit(MARKER)))
-        return F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), out.alias("out")))
+    def body(cut: Column) -> Column:
+        rest = page_range(cut, F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text))
+        return F.concat(F.array_join(F.transform(stretches(spans), lambda s: piece(cut, s)), ""), rest)
 
-    done = F.aggregate(spans, zero, step)
-    return F.when(F.size(spans) > 0, F.concat(done["out"], F.substr(text, done["at"] + 1))).otherwise(text)
+    return F.when(F.size(spans) > 0, let(pages(text), body)).otherwise(text)
 
 
 def redact(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
     """docs, all columns, with secrets replaced in the texts; n_chars, if there, is the new length where that changes."""
     model = train(docs) if model is None else model
-    base, tokens = "__base_spans", "__token_spans"
+    base, tokens = fresh(docs.columns, "base", "tokens")
     rules, candidates = spans_of(F.coalesce(F.col("text"), F.lit("")), model)
-    found = docs.withColumn(base, rules).withColumn(tokens, candidates).withColumn(base, with_random(F.col(base), F.col(tokens)))
-    new = redacted(F.col("text"), F.col(base))
-    out = found.withColumn("text", new)
+    found = docs.select("*", rules.alias(base), candidates.alias(tokens))
+    found = found.select(*docs.columns, with_random(F.col(base), F.col(tokens)).alias(base))
+    out = found.withColumn("text", redacted(F.col("text"), F.col(base)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size(base) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
