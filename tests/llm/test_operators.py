@@ -470,8 +470,60 @@ def test_license_phrases_match_brute_force(spark):
     assert licenses.scan(documents(spark, [])).count() == 0
 
 
+def brute_votes(text):
+    """labels and score by counting, template by template, which diagonals a text's grams lie on."""
+    w = re.findall(WORD, (text or "").translate(LOWER))
+    labels, score = set(), 0.0
+    for kind, given in enumerate((licenses.PHRASES, licenses.NOTICES, licenses.TEXTS)):
+        k = licenses.LONG if kind == 2 else licenses.SHORT
+        for plain, label in given:
+            t = re.findall("[a-z0-9]+", plain.lower())
+            grams = len(t) - k + 1
+            diagonals = {}
+            for at in range(grams):
+                for pos in range(len(w) - k + 1):
+                    if w[pos : pos + k] == t[at : at + k]:
+                        diagonals.setdefault(pos - at, []).append(pos)
+            if kind < 2:
+                if any(len(x) == grams for x in diagonals.values()):
+                    labels.add(label)
+                    score = 1.0
+                continue
+            clusters = []
+            for d in sorted(diagonals):
+                alone = len(diagonals[d]) == grams
+                if clusters and d - clusters[-1][0] <= licenses.GAP and not alone and not clusters[-1][2]:
+                    clusters[-1] = (d, clusters[-1][1] + diagonals[d], False)
+                else:
+                    clusters.append((d, diagonals[d], alone))
+            for _, places, _ in clusters:
+                share = min(len(places) / grams, 1.0)
+                score = max(score, share)
+                if share >= licenses.COVERAGE and max(places) + k - min(places) <= licenses.STRETCH * len(t):
+                    labels.add(label)
+    return ",".join(sorted(labels)), round(score, 9)
+
+
+def test_license_votes_match_brute_force(spark):
+    random.seed(12)
+    docs = []
+    for i in range(60):
+        parts = []
+        for _ in range(random.randint(1, 2)):
+            w = re.findall("[A-Za-z0-9]+", random.choice(licenses.TEXTS)[0])
+            for _ in range(random.choice([0, 2, 8, 30])):
+                at = random.randrange(len(w))
+                w[at : at + random.choice([0, 1, 2])] = ["altered"] * random.choice([0, 1, 2])
+            parts += ["before", *w[: random.choice([len(w), len(w), len(w) // 2])]]
+        parts += random.choice([[], ["All", "rights", "reserved."], ["Licensed under CC BY-NC 4.0."], ["licensed under the GNU General Public License, version 3"]])
+        docs.append((i, " ".join(parts)))
+    docs += [(100, licenses.TEXTS[0][0] * 3), (101, " ".join(t for t, _ in licenses.TEXTS)), *hard(spark)]
+    got = sorted(str((r["doc_id"], r["labels"], round(r["score"], 9))) for r in licenses.scan(documents(spark, docs)).collect())
+    assert got == sorted(str((i, *brute_votes(t))) for i, t in docs)
+
+
 def test_license_diagonals_bear_edits(spark):
-    text = licenses.TEMPLATES[0][0].split()
+    text = licenses.template_words(licenses.TEXTS[0][0])
     edited = "Intro words. " + " ".join(text[:6] + ["really"] + text[6:15] + text[16:]) + " The end."
     half = " ".join(text[: len(text) // 3])
     got = {r["doc_id"]: r for r in licenses.scan(documents(spark, [(1, edited), (2, half), (3, "nothing")])).collect()}
@@ -479,6 +531,13 @@ def test_license_diagonals_bear_edits(spark):
     assert got[2]["labels"] == "" and 0 < got[2]["score"] < 0.6 and got[3]["score"] == 0
 
 
+def test_license_words_of_one_long_text(spark):
+    """A text of 200,000 words: a gram that carried the whole text would need 10^10 words."""
+    docs = [(1, "word under the MIT license " * 40000), (2, None)]
+    got = {r["doc_id"]: r for r in licenses.scan(documents(spark, docs)).collect()}
+    assert (got[1]["n_words"], got[1]["n_base"], got[1]["first_word"], got[1]["last_word"]) == (200000, 40000, 1, 199996) and got[2]["n_words"] == 0
+
+
 def test_license_repeated_back_to_back(spark):
     docs = [(1, "All rights reserved."), (2, "All rights reserved.\n" * 2), (3, "x " + "All rights reserved. " * 5)]
     got = {r["doc_id"]: r for r in licenses.scan(documents(spark, docs)).collect()}
