@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import partitions, scope, store, with_unique
 
 
 def _starred(links: DataFrame, large: bool) -> DataFrame:
@@ -19,22 +19,24 @@ def _starred(links: DataFrame, large: bool) -> DataFrame:
         around = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         around = links
-    least = around.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least"))
-    joined = around.join(least, "a")
+    least = store(around.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least")), "least")
+    # the centre of a large star has many neighbours
+    joined = with_unique(around, least, "a", partitions(links.sparkSession))
     if large:
         moved = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b"))
     else:
         moved = joined.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(least.select("a", F.col("least").alias("b")))
-    return moved.where(F.col("a") > F.col("b")).distinct()
+    return store(moved.where(F.col("a") > F.col("b")).distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
     """links (a long, b long), in either order, repeated or not: (node, root) for every node but the roots themselves."""
-    now = store(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") > F.col("b")).distinct(), "links")
-    mark = None
-    while True:
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
-        if (seen["n"], seen["h"]) == mark or not seen["n"]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = (seen["n"], seen["h"])
-        now = store(_starred(_starred(now, True), False), "links")
+    with scope(links.sparkSession, "node-roots"):
+        now = store(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") > F.col("b")).distinct(), "links")
+        mark = None
+        while True:
+            seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
+            if (seen["n"], seen["h"]) == mark or not seen["n"]:
+                return store(now.select(F.col("a").alias("node"), F.col("b").alias("root")), "node-roots")
+            mark = (seen["n"], seen["h"])
+            now = _starred(_starred(now, True), False)

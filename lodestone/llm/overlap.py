@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, store
+from .common import bounded_batches, scope, store
 from .components import components
 from .simhash import CHUNK, first_of, shingle_hashes
 
@@ -132,5 +132,6 @@ def rooted(docs: DataFrame, marked: DataFrame, size: int = SHINGLE) -> DataFrame
 
 def keep_first(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """One row of each group of near copies, all columns, in the order of simhash.keep_first."""
-    marked = with_sets(docs, size)
-    return first_of(docs, marked, rooted(docs, marked, size))
+    with scope(docs.sparkSession, "winners"):
+        marked = with_sets(docs, size)
+        return first_of(docs, marked, rooted(docs, marked, size))

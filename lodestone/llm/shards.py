@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, store
+from .common import fresh, partitions, store
 
 SHARDS, OVERHEAD = 40, 16
 #: Key bits that one round refines; share of a shard's bytes by which a splitter may miss its target.
@@ -119,11 +119,14 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, i
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, under path/shard=N in the order of their keys, exchanged once; read back with their shard.
 
+    Where docs have a column `shard` of their own, the new one is `shard_`.
+
     Rows go by ranges of (shard, key), so a shard is written by as many tasks as its rows need.
     """
     at = splitters(keyed(docs, id_col, text_col), shards, tolerance)
-    key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
-    placed = docs.withColumn("__key", key).withColumn("shard", _shard(F.col("__key"), at).cast("int"))
-    ranged = placed.repartitionByRange(max(shards, partitions(docs.sparkSession)), "shard", "__key").sortWithinPartitions("shard", "__key", id_col)
-    ranged.drop("__key").write.partitionBy("shard").parquet(path)
+    number, key = fresh(docs.columns, "shard", "key")
+    placed = docs.withColumn(key, F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)))
+    placed = placed.withColumn(number, _shard(F.col(key), at).cast("int"))
+    ranged = placed.repartitionByRange(max(shards, partitions(docs.sparkSession)), number, key).sortWithinPartitions(number, key, id_col)
+    ranged.drop(key).write.partitionBy(number).parquet(path)
     return docs.sparkSession.read.parquet(path)

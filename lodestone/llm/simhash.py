@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, partitions, store
+from .common import bounded_batches, fresh, partitions, scope, store, with_unique
 from .components import components
 
 SHINGLE, SEED, DISTANCE, CROWD = 4, 42, 4, 64
@@ -180,13 +180,14 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
                 yield _arrow(key=(part[:, None] ^ masks[None, :]).reshape(-1), fp=np.repeat(part, len(masks)))
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All that meet at a key are linked to one of them; of a run that batches cut, a link carries on."""
+        """All that meet at a key are linked to one of them, after all 64 bits are compared; of a run that batches cut,
+        a link carries on."""
         for key, fp in _runs(batches, 1):
             if not len(key):
                 continue
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             head = np.repeat(fp[starts], np.diff(np.r_[starts, len(key)]))
-            other = head != fp
+            other = (head != fp) & (np.bitwise_count((head ^ fp).view(np.uint64)) <= DISTANCE)
             pairs = np.unique(np.stack([head[other], fp[other]]), axis=1)
             if pairs.shape[1]:
                 yield _arrow(a=pairs[0], b=pairs[1])
@@ -197,18 +198,26 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
 
 def rooted(marked: DataFrame) -> DataFrame:
     """(fp, root) of every distinct fingerprint of `marked`; those that links join have the same root."""
-    distinct = store(marked.select("fp").distinct(), "distinct")
-    roots = components(fingerprint_links(distinct))
-    return store(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
+    with scope(marked.sparkSession, "roots"):
+        distinct = store(marked.select("fp").distinct(), "distinct")
+        roots = components(fingerprint_links(distinct))
+        return store(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the least doc_id that links reach, for every row."""
-    marked = with_fingerprints(docs, id_col, text_col, size).drop("text_hash")
-    roots = rooted(marked)
-    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = store(roots.join(least, "root").select("fp", "component_id"), "labels")
-    return marked.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    """doc_id, fingerprint (16 hex digits) and component_id, the least doc_id that links reach, for every row.
+
+    However many copies a text has, or texts a component, their rows are not exchanged by what they share: keys that hold
+    many rows get the few rows they meet sent to them.
+    """
+    n = partitions(docs.sparkSession)
+    with scope(docs.sparkSession, "fingerprints", "labels"):
+        marked = with_fingerprints(docs, id_col, text_col, size).drop("text_hash")
+        roots = rooted(marked)
+        each = store(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp"), "least-ids")
+        least = store(each.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+        labels = store(with_unique(roots, least, "root", n).select("fp", "component_id"), "labels")
+    return with_unique(marked, labels, "fp", n).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -216,16 +225,19 @@ def keep_first(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     Of rows that agree in both one stays.
     """
-    marked = with_fingerprints(docs, size=size)
-    return first_of(docs, marked, rooted(marked))
+    with scope(docs.sparkSession, "winners"):
+        marked = with_fingerprints(docs, size=size)
+        return first_of(docs, marked, rooted(marked))
 
 
 def first_of(docs: DataFrame, marked: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows of docs that come first in their groups: marked (doc_id, text_hash, fp), roots (fp, root)."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("hash"))
-    first = marked.groupBy("fp").agg(F.min(order).alias("w")).join(roots, "fp").groupBy("root").agg(F.min("w").alias("w"))
-    winners = store(first.select(F.col("w.none").alias("__none"), F.col("w.id").alias("__id"), F.col("w.hash").alias("__hash")), "winners")
-    keyed = docs.withColumns({"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__hash": F.xxhash64("text")})
-    key = ["__id", "__hash", "__none"]
+    each = marked.groupBy("fp").agg(F.min(order).alias("w")).join(roots, "fp")
+    none, of, print_, copy = fresh(docs.columns, "none", "of", "print", "copy")
+    first = each.groupBy("root").agg(F.min("w").alias("w"))
+    winners = store(first.select(F.col("w.none").alias(none), F.col("w.id").alias(of), F.col("w.hash").alias(print_)), "winners")
+    keyed = docs.withColumns({none: F.col("doc_id").isNull(), of: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), print_: F.xxhash64("text")})
+    key = [of, print_, none]
     once = Window.partitionBy(*key).orderBy(*key)
-    return keyed.join(winners, key, "left_semi").withColumn("__copy", F.row_number().over(once)).where("__copy = 1").select(*docs.columns)
+    return keyed.join(winners, key, "left_semi").withColumn(copy, F.row_number().over(once)).where(F.col(copy) == 1).select(*docs.columns)

@@ -1,27 +1,33 @@
 """Toxicity by a weighted lexicon, learned from labels and matched with Aho-Corasick.
 
-Texts are folded first: lower case, look-alikes of other scripts to Latin letters, digits and signs that stand for
-letters to those letters.  Lexicon entries are whole words or word beginnings.  A match inside an exception phrase
-doesn't count.  The score is logistic in the summed weights over the logarithm of the text's length in words.
+Texts are folded first: lower case, compatibility forms and accents taken apart and combining marks and zero-width
+characters taken out, look-alikes of other scripts to Latin letters, digits and signs that stand for letters to those
+letters (`!` and `|` only between letters).  Lexicon entries are whole words or word beginnings.  A match inside an
+exception phrase doesn't count.  The score is logistic in the summed weights over a power of the text's length in words.
+The power is one of POWERS, the one with the least loss on the training rows: labels mark texts with a few words of
+abuse in many as they mark short ones, so the full length may take too much.
 
 Learning uses at most SAMPLE labelled rows (the least hashes of doc_id, so every run takes the same), never those whose
 crc32(doc_id as text) mod 5 is 0: beginnings and words are counted in toxic documents, then in the others; the lexicon
 takes the entry that explains most toxic documents not explained so far, again and again, so that words of mere copies
 of a document bring nothing; then a ridge logistic regression sets the scale.  Phrases of an entry and a neighbour that
-clean documents have and toxic ones don't become exceptions, besides those given.
+clean documents have and toxic ones don't become exceptions.
 
 Defined results: null and empty texts score as a text without matches; repeated rows are scored each; a null doc_id is
-in training's share nowhere and isn't held out (null); where no labels are there, nothing is learned and every score is
-the prior's; an empty table gives no rows.
+in training's share nowhere and isn't held out (null); labels other than 0 and 1 are no labels; where no labels are
+there, nothing is learned and every score is the prior's; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -37,18 +43,32 @@ SAMPLE, FOLDS = 16_000, 5
 SHORTEST, LONGEST = 4, 8
 #: Toxic documents that an entry must explain anew.
 LEAST = 3
-# Characters of other scripts that look like Latin letters.
-LOOKALIKES = dict(zip("аеорсухіјѕԁһӏвкмнтгαεορτυνικχηωß０", "aeopcyxijsdhlbkmhtraeoptuvikxnwb0", strict=True))
+#: Powers of the length that are tried.
+POWERS = (0.0, 0.125, 0.25, 0.5, 1.0)
+# Characters of other scripts that look like Latin letters, and those letters.
+LOOKALIKES = dict(
+    zip(
+        "абгеєорсухіїјѕԁһӏвкмнтпигԛԝзь" "αβγδεζηικμνορτυχω" "ıłøđßƒɑɡɩʟʀʏℓ",
+        "abreeopcyxiijsdhlbkmhtnurqwzb" "abydeznikmvoptuxw" "ilodsfagilryl",
+        strict=True,
+    )
+)
 # Digits and signs written for letters.
-DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
-# Phrases in which an entry is harmless.
-EXCEPTIONS = ("clown fish", "trash can", "trash bin", "idiot proof", "scum line")
-del LOOKALIKES["ß"], LOOKALIKES["０"]
-FOLD = str.maketrans(LOOKALIKES | DIGITS | {chr(0xFF21 + i): chr(97 + i) for i in range(26)} | {chr(0xFF41 + i): chr(97 + i) for i in range(26)})
+DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "€": "e", "£": "l"}
+# Signs that stand for letters between letters only.
+INNER = {"!": "i", "|": "l"}
+#: Combining marks, soft hyphens, zero-width characters and marks of direction.
+UNSEEN = dict.fromkeys([*range(0x300, 0x370), 0xAD, *range(0x200B, 0x2010), *range(0x2060, 0x2065), *range(0xFE00, 0xFE10), 0xFEFF])
+FOLD = str.maketrans(LOOKALIKES | DIGITS) | UNSEEN
 WORD = re.compile(r"[^\W\d_]+")
+INSIDE = re.compile(r"(?<=[^\W_])[!|](?=[^\W_])")
 
 
 def fold(text: str) -> str:
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text)
+    if "!" in text or "|" in text:
+        text = INSIDE.sub(lambda m: INNER[m[0]], text)
     return text.lower().translate(FOLD)
 
 
@@ -62,7 +82,8 @@ def parts_of(word: str) -> Iterator[str]:
 @dataclass
 class Lexicon:
     weights: dict[str, float] = field(default_factory=dict)
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
+    power: float = 0.25
     slope: float = 1.0
     bias: float = -3.0
 
@@ -95,15 +116,22 @@ class Lexicon:
             if "=" in kinds and closed:
                 found.append((start, end, "=" + key))
         if shielded:
-            found = [x for x in found if not any(a <= x[0] and x[1] <= b for a, b in shielded)]
+            shielded.sort()
+            starts, reach = [a for a, _ in shielded], list(accumulate((b for _, b in shielded), max))
+            # a match is covered if a phrase that starts at or before it reaches to its end
+            found = [x for x in found if not (i := bisect_right(starts, x[0])) or reach[i - 1] < x[1]]
         return found
 
-    def evidence(self, text: str, automaton: ahocorasick.Automaton) -> tuple[float, int]:
-        """Summed weights over the logarithm of the length, and the number of matches."""
+    def found(self, text: str, automaton: ahocorasick.Automaton) -> tuple[float, int, int]:
+        """Summed weights, the length in words (gaps and one), and the number of matches."""
         folded = fold(text)
         found = self.matches(folded, automaton) if self.weights else []
-        total = sum(self.weights[e] for _, _, e in found)
-        return (total / math.log2(2 + folded.count(" ") + folded.count("\n")) if found else 0.0), len(found)
+        return sum(self.weights[e] for _, _, e in found), 1 + folded.count(" ") + folded.count("\n"), len(found)
+
+    def evidence(self, text: str, automaton: ahocorasick.Automaton) -> tuple[float, int]:
+        """Summed weights over the length's power, and the number of matches."""
+        total, length, n = self.found(text, automaton)
+        return total / length**self.power, n
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.bias, -30, 30)))
@@ -116,7 +144,7 @@ def held_out(doc_id: str = "doc_id"):
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """(text, toxic) of at most `sample` labelled documents outside the held-out fold, in the shared folder."""
     chosen = (
-        labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
+        labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
         .groupBy(F.col("doc_id").alias("labelled"))
         .agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("labelled"), "labelled")
@@ -221,20 +249,32 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
         for r in _counted(rows, neighbours).collect():
             seen.setdefault(r["entry"], [0, 0])[r["toxic"]] += r["n"]
         harmless = [p for p, (n, y) in sorted(seen.items()) if n >= LEAST and _weight(y, n, toxic, clean) < 0]
-        lexicon.exceptions = tuple(dict.fromkeys([*EXCEPTIONS, *harmless]))
+        lexicon.exceptions = tuple(harmless)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = lexicon.automaton()
         for batch in batches:
-            found = [lexicon.evidence(t, made)[0] for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column(1)], names=["x", "toxic"])
+            found = [lexicon.found(t, made) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in found], pa.float64()), pa.array([n for _, n, _ in found], pa.int64()), batch.column(1)], names=["x", "length", "toxic"])
 
-    points = rows.select("text", F.col("toxic").cast("int")).mapInArrow(measured, "x double, toxic int").collect()
-    x, y = np.array([p["x"] for p in points]), np.array([p["toxic"] for p in points], float)
-    lexicon.slope, lexicon.bias = _logistic(x, y)
+    points = rows.select("text", F.col("toxic").cast("int")).mapInArrow(measured, "x double, length long, toxic int").collect()
+    x, length, y = (np.array([p[i] for p in points], float) for i in range(3))
+    lexicon.power, lexicon.slope, lexicon.bias = _scaled(x, length, y)
     return lexicon
 
 
+def _scaled(x: np.ndarray, length: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """The power, slope and bias with the least loss, both classes weighing the same; of equals the greatest power."""
+    tried = []
+    for power in POWERS:
+        slope, bias = _logistic(x / length**power, y)
+        p = 1 / (1 + np.exp(-np.clip(slope * x / length**power + bias, -30, 30)))
+        loss = -np.log(p[y == 1]).mean() - np.log(1 - p[y == 0]).mean()
+        tried.append((round(float(loss), 6), -power, slope, bias))
+    _, power, slope, bias = min(tried)
+    return -power, slope, bias
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float, float]:
     """Slope and bias by Newton's method; both classes weigh the same, and the ridge keeps separable data finite."""
     order = np.lexsort((y, x))  # the rows' order must not show in the sums

@@ -113,6 +113,12 @@ def test_contamination_matches_brute_force(spark, scan_bytes, monkeypatch):
     want = brute_contamination(docs, items)
     assert all(hit == span for _, _, hit, _, span in got)
     assert sorted(str((i, n, h, hashlib.sha256(",".join(s).encode()).hexdigest())) for i, n, h, s, _ in got) == sorted(str((i, n, h, d)) for i, n, h, _, d, _ in want)
+    long_text = "other " * 3000
+    docs += [(94, long_text + items[3][1] + " " + long_text), (95, long_text + " zz yy xx"), (96, long_text)]
+    whole = {tuple(w[k : k + 13]) for _, t in items if (w := re.findall(WORD, (t or "").translate(LOWER))) for k in range(len(w) - 12)}
+    has = lambda t: any(tuple(w[k : k + 13]) in whole for w in [re.findall(WORD, (t or "").translate(LOWER))] for k in range(len(w) - 12))
+    want = [(*w[:5], w[5] or has(t)) for w, (_, t) in zip(brute_contamination(docs, items), docs, strict=True)]
+    assert [w[5] for w in want[-3:]] == [len(re.findall(WORD, items[3][1])) >= 13, False, False]
     kept = decontaminate.keep_clean(documents(spark, docs), bench)
     assert kept.columns == documents(spark, []).columns
     assert sorted(str((r["doc_id"], r["text"])) for r in kept.collect()) == sorted(str(d) for d, w in zip(docs, want, strict=True) if not w[5])
@@ -241,8 +247,38 @@ def test_toxicity_exceptions():
     assert lexicon.evidence("a clown fished", made)[1] == 1 and lexicon.evidence("clowns", made)[1] == 0
 
 
+def naive_matches(lexicon, folded):
+    """Every entry at every place, by comparing characters."""
+    shields = [(i, i + len(p)) for p in lexicon.exceptions for i in range(len(folded)) if folded.startswith(p, i) and not (i and folded[i - 1].isalpha()) and not folded[i + len(p) : i + len(p) + 1].isalpha()]
+    found = []
+    for entry in lexicon.weights:
+        for i in range(len(folded)):
+            j = i + len(entry) - 1
+            if folded.startswith(entry[1:], i) and not (i and folded[i - 1].isalpha()) and (entry[0] == "^" or not folded[j : j + 1].isalpha()):
+                if not any(a <= i and j <= b for a, b in shields):
+                    found.append((i, j, entry))
+    return sorted(found)
+
+
+@given(st.lists(st.sampled_from(["bad", "badly", "bad dog", "dog", "dogs", "a", "xbad", "B4D", "bád", "b\u0430d", "b\u200bad", "do9", ".", "1", "badbad"]), max_size=12), st.sampled_from([" ", "", ", "]))
+@settings(max_examples=150, deadline=None)
+def test_toxicity_matches_like_a_naive_scan(parts, between):
+    lexicon = toxicity.Lexicon({"=bad": 2.0, "^bad": 1.0, "^dog": 0.5, "=dogs": 3.0}, ("bad dog", "a bad", "dogs"))
+    folded = toxicity.fold(between.join(parts))
+    assert sorted(lexicon.matches(folded, lexicon.automaton())) == naive_matches(lexicon, folded)
+
+
+def test_toxicity_folding():
+    for odd in ("B4d", "b\u0430d", "b\u00e1d", "b\u200ba\u00add", "\uff42\uff41\uff44", "ba\u0301d", "b@d", "\U0001d41b\U0001d41a\U0001d41d"):
+        assert toxicity.fold(odd) == "bad", odd
+    assert toxicity.fold("id!ot|c! x!") == "idiotlc! x!" and toxicity.fold("") == ""
+
+
 def test_toxicity_without_labels(spark):
+    """Labels that are neither 0 nor 1 are none."""
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    odd = spark.createDataFrame([(1, 0, 7), (3, 0, None), (4, 1, -1)], none.schema)
+    assert toxicity.fit(documents(spark), odd) == toxicity.fit(documents(spark), none)
     lexicon = toxicity.fit(documents(spark), none)
     assert {r["predicted"] for r in toxicity.score(documents(spark), lexicon).collect()} <= {0, 1}
     assert toxicity.score(documents(spark, []), lexicon).count() == 0
