@@ -1,9 +1,10 @@
 """The corpus pipeline: STAGES in order over `documents`, each on what the stage before it kept.
 
 All stages but the last return the columns of documents.  Toxic documents go; of each group of near copies the document
-with the least id stays; documents contaminated by the benchmark go; secrets are replaced in the texts of the rest
+with the least id stays; documents with a passage of the benchmark go; secrets are replaced in the texts of the rest
 (n_chars follows); the last stage encodes what is left.  SQL can't express these stages; tests hold them against
-brute force.
+brute force.  Null and empty texts are no words, toxic to nobody, copies of each other and pieces of nothing; repeated rows
+are copies; an empty table of documents gives no rows, and empty labels or an empty benchmark take nothing out.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("near-dedup", one_of_near_copies),
+    ("simhash near-dedup", one_of_near_copies),
     ("benchmark decontamination", decontaminated),
     ("secret scans", without_secrets),
     ("sentencepiece", encoded),
@@ -52,7 +53,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last stage gives; tables of the stages before it, and what they stored, are removed."""
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = common.store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    with common.scope(spark, STAGES[-1][0]):
+        for name, stage in STAGES:
+            docs = common.store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
