@@ -128,10 +128,16 @@ def template_words(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", text.lower())
 
 
-def known_grams(spark: SparkSession, templates: Sequence[tuple[int, list[str]]], k: int, name: str) -> DataFrame:
-    """(name, <name>_known): a row for each hash of a k-gram of the templates (number, words), with where they stand."""
-    rows = [(i, at, w[at : at + k]) for i, w in templates for at in range(len(w) - k + 1)]
-    made = spark.createDataFrame(rows, "template int, at int, gram array<string>")
+def template_table(spark: SparkSession, every: Sequence[tuple[list[str], str, int]]) -> DataFrame:
+    """(template, kind, label, w): templates as literals of the plan."""
+    rows = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(kind).alias("kind"), F.lit(label).alias("label"), F.lit(" ".join(w)).alias("text")) for i, (w, label, kind) in enumerate(every)])
+    return spark.range(1, numPartitions=1).select(F.explode(rows).alias("t")).select("t.template", "t.kind", "t.label", F.split("t.text", " ").alias("w"))
+
+
+def known_grams(templates: DataFrame, k: int, name: str) -> DataFrame:
+    """(name, <name>_known): a row for each hash of a k-gram of the templates, with where they stand."""
+    grams = F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.slice("w", i + 1, F.lit(k)))
+    made = templates.select("template", F.posexplode(grams).alias("at", "gram"))
     hashed = made.select(F.xxhash64(*[F.get("gram", j) for j in range(k)]).alias(name), F.struct("template", "at", "gram").alias("known"))
     return hashed.groupBy(name).agg(F.collect_list("known").alias(f"{name}_known"))
 
@@ -145,9 +151,11 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, texts=TEXTS, id_col:
     every = [(template_words(t), label, kind) for kind, given in enumerate((phrases, notices, texts)) for t, label in given]
     if any(len(w) < (LONG if kind == 2 else SHORT) for w, _, kind in every):
         raise ValueError(f"phrases and notices have {SHORT} words or more, license texts {LONG}")
-    short = F.broadcast(known_grams(spark, [(i, w) for i, (w, _, kind) in enumerate(every) if kind < 2], SHORT, "short"))
-    long = F.broadcast(known_grams(spark, [(i, w) for i, (w, _, kind) in enumerate(every) if kind == 2], LONG, "long"))
-    about = F.broadcast(spark.createDataFrame([(i, kind, label, len(w) - (LONG if kind == 2 else SHORT) + 1, len(w)) for i, (w, label, kind) in enumerate(every)], "template int, kind int, label string, grams int, size int"))
+    made = template_table(spark, every)
+    short = F.broadcast(known_grams(made.where("kind < 2"), SHORT, "short"))
+    long = F.broadcast(known_grams(made.where("kind = 2"), LONG, "long"))
+    grams = F.size("w") - F.when(F.col("kind") == 2, LONG).otherwise(SHORT) + 1
+    about = F.broadcast(made.select("template", "kind", "label", grams.alias("grams"), F.size("w").alias("size")))
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), words(text).alias("w"))
