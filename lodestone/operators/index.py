@@ -29,20 +29,19 @@ def without(words: Column, stop: list[str]) -> Column:
     return F.filter(words, lambda w: ~w.isin(stop)) if stop else words
 
 
-def tokenized(docs: DataFrame, title: bool = False) -> DataFrame:
-    """(article_id, content, words): tokens of the whole text, and of the field that is searched."""
-    content = T.article_tokens(F.col("text"))
-    words = T.article_tokens(T.title_of(F.col("text"))) if title else F.array().cast("array<string>")
-    return docs.select(F.col("doc_id").alias("article_id"), content.alias("content"), words.alias("words"))
+def tokenized(docs: DataFrame) -> DataFrame:
+    """(article_id, content, title): tokens of the whole text, and of its title."""
+    content, title = T.article_tokens(F.col("text")), T.article_tokens(T.title_of(F.col("text")))
+    return docs.select(F.col("doc_id").alias("article_id"), content.alias("content"), title.alias("title"))
 
 
-def articles(tokens: DataFrame, stop: list[str], min_words: int = MIN_WORDS, title: bool = False) -> DataFrame:
-    """(article_id, words): words of eligible documents, without stop words, from tokenized documents.
+def articles(tokens: DataFrame, stop: list[str], min_words: int = MIN_WORDS) -> DataFrame:
+    """(article_id, content, title): words of eligible documents without stop words, from tokenized documents.
 
-    Eligibility always counts the words of the whole text.
+    Eligibility counts the words of the whole text.
     """
-    rows = tokens.withColumn("content", without(F.col("content"), stop)).where(F.size("content") >= min_words)
-    return rows.select("article_id", (without(F.col("words"), stop) if title else F.col("content")).alias("words"))
+    rows = tokens.select("article_id", without(F.col("content"), stop).alias("content"), without(F.col("title"), stop).alias("title"))
+    return rows.where(F.size("content") >= min_words)
 
 
 def questions(items: DataFrame, stop: list[str], id_col: str = "item_id") -> DataFrame:
@@ -59,9 +58,15 @@ def postings(rows: DataFrame, key: str = "article_id") -> DataFrame:
 def positional_index(docs: DataFrame, is_title: bool = False) -> DataFrame:
     """(article_id, word, is_title, positions, positions_count), positions from 1 in ascending order."""
     text = T.title_of(F.col("text")) if is_title else F.col("text")
-    rows = docs.select(F.col("doc_id").alias("article_id"), F.posexplode(T.article_tokens(text)).alias("pos", "word"))
-    grouped = rows.groupBy("article_id", "word").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"))
-    return grouped.select("article_id", "word", F.lit(is_title).alias("is_title"), "positions", F.size("positions").alias("positions_count"))
+    places = F.transform(T.article_tokens(text), lambda w, i: F.struct(w.alias("word"), (i + 1).alias("pos")))
+    rows = docs.select(F.col("doc_id").alias("article_id"), F.array_sort(places).alias("s"))
+    # a document is one row: its sorted places are cut where the word changes, and nothing is exchanged
+    starts = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i)["word"] != F.get("s", i - 1)["word"]))
+    rows = rows.where(F.size("s") > 0).select("article_id", "s", starts.alias("starts"))
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("s")))
+    entry = lambda a, b: F.struct(F.get("s", a)["word"].alias("word"), F.transform(F.slice("s", a + 1, b - a), lambda x: x["pos"]).alias("positions"))
+    each = rows.select("article_id", F.explode(F.zip_with("starts", ends, entry)).alias("e"))
+    return each.select("article_id", "e.word", F.lit(is_title).alias("is_title"), "e.positions", F.size("e.positions").alias("positions_count"))
 
 
 def rebuilt_words(index: DataFrame) -> DataFrame:

@@ -9,23 +9,61 @@ from ..functions import text as T
 from ..operators import ensemble, evaluate, graph, learn, ranking, tfidf, vectors
 from ..operators import index as I
 from ..sources import sinks
+from ..storage import place, scope, store
 from . import sql as S
 from .registry import query, table
 
 TOP = 3
 
 
+_ingested: dict[tuple, tuple[str, str, list[str], int]] = {}
+
+
+def _ingest(spark: SparkSession, sf: str) -> tuple[str, str, list[str], int]:
+    """Where the index of `documents` is, its stop words and its number of articles.
+
+    As a search engine's, the index is made once, here once a session and version of the table, and read by every query:
+    articles' words without stop words, and how many articles have each word.
+    """
+    path = f"{sf}/documents.parquet"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where)
+    changed = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).getModificationTime()
+    key = (spark.sparkContext.applicationId, path, files.getLength(), files.getFileCount(), changed)
+    if key not in _ingested:
+        with scope(spark, "articles", "vocabulary"):
+            tokens = store(I.tokenized(table(spark, sf, "documents")), "tokens")
+            stop = I.stop_words(tokens, tokens=F.col("content"))
+            articles, vocabulary = place(spark, "articles"), place(spark, "vocabulary")
+            I.articles(tokens, stop).write.parquet(articles)
+            made = spark.read.parquet(articles)
+            words = made.select(F.explode(F.array_distinct("content")).alias("word"))
+            words.groupBy("word").agg(F.count("*").alias("df")).write.parquet(vocabulary)
+            _ingested[key] = articles, vocabulary, stop, made.count()
+    return _ingested[key]
+
+
 class Corpus:
-    """Postings and questions of the test tables; tokens are kept, as stop words, counts and scores all start from them."""
+    """The index and the questions of the test tables."""
 
     def __init__(self, spark: SparkSession, sf: str, title: bool = False) -> None:
-        tokens = I.tokenized(table(spark, sf, "documents"), title).cache()
-        self.stop = I.stop_words(tokens, tokens=F.col("content"))
-        self.articles = I.articles(tokens, self.stop, title=title)
-        self.postings = I.postings(self.articles)
-        self.n = self.articles.count()
+        articles, vocabulary, self.stop, self.n = _ingest(spark, sf)
+        self.articles = spark.read.parquet(articles).select("article_id", F.col("title" if title else "content").alias("words"))
+        #: how many articles have a word in their text; titles are rarer, and counted where they are asked for
+        self.frequencies = None if title else spark.read.parquet(vocabulary)
+        self.vocabulary = spark.read.parquet(vocabulary)
         self.questions = I.questions(table(spark, sf, "benchmark"), self.stop)
 
+    @property
+    def postings(self) -> DataFrame:
+        return I.postings(self.articles)
+
+    def scores(self, comparator: str = "tf-idf", **more: float) -> DataFrame:
+        return tfidf.score_documents(self.questions, self.articles, self.n, comparator, frequencies=self.frequencies, **more)
+
+    def windows(self, n: int, comparator: str = "tf-idf", top: int | None = None) -> DataFrame:
+        return tfidf.score_windows(self.questions, self.articles, self.n, n, comparator, frequencies=self.frequencies, top=top)
+
 
 def shown(scores: DataFrame, comparator: str, k: int = TOP) -> DataFrame:
     best = ranking.top(scores, k, tfidf.SMALLER_FIRST[comparator])
@@ -35,64 +73,74 @@ def shown(scores: DataFrame, comparator: str, k: int = TOP) -> DataFrame:
 def gold_answers(spark: SparkSession, sf: str) -> DataFrame:
     """(question_id, article_id): documents that hold an item's text.
 
-    Items are looked for by four of their words: runs of a document's words meet the items by an equi-join, and the text
-    itself decides.  Items of fewer than six words are compared as they are.
+    Items are looked for by up to four of their inner words (the first and last may be parts of a document's words): the
+    hashes of runs of a document's words meet the items' by an equi-join, and of the few pairs that do the texts decide.
+    Items of fewer than three words have no inner word and are looked for in each text as it is read.
     """
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    n = 4
     words = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     keyed = items.select(F.col("item_id").alias("question_id"), F.col("text").alias("item"), words(F.col("text")).alias("w"))
-    # inner words: the first and last may be parts of a document's words
-    long = keyed.where(F.size("w") >= n + 2).select("question_id", "item", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.lit(n)), " ")).alias("h"))
-    runs = docs.select(F.col("doc_id").alias("article_id"), "text", words(F.col("text")).alias("w"))
-    runs = runs.select("article_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " "))))).alias("h"))
-    hits = runs.join(long, "h").where(F.col("text").contains(F.col("item"))).select("question_id", "article_id")
-    short = keyed.where(F.size("w") < n + 2).select("question_id", "item")
-    few = docs.join(short, F.col("text").contains(F.col("item"))).select("question_id", F.col("doc_id").alias("article_id"))
-    return hits.union(few).distinct()
+    keyed = keyed.withColumn("n", F.least(F.size("w") - 2, F.lit(4))).where("item is not null")
+    sizes = sorted(r["n"] for r in keyed.select("n").distinct().collect())
+    inner = keyed.where("n > 0").select("question_id", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("n")), " ")).alias("h"))
+    texts = docs.select(F.col("doc_id").alias("article_id"), "text")
+    parts = []
+    if any(n > 0 for n in sizes):
+        held = docs.select(F.col("doc_id").alias("article_id"), words(F.col("text")).alias("w"))
+        run = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))).otherwise(F.array().cast("array<bigint>"))
+        runs = held.select("article_id", F.explode(F.array_distinct(F.concat(*[run(n) for n in sizes if n > 0]))).alias("h"))
+        met = runs.join(inner, "h").select("question_id", "article_id").distinct()
+        parts.append(met.join(texts, "article_id").join(keyed.select("question_id", "item"), "question_id").where(F.col("text").contains(F.col("item"))).select("question_id", "article_id"))
+    if any(n <= 0 for n in sizes):
+        few = [(r["question_id"], r["item"]) for r in keyed.where("n <= 0").select("question_id", "item").collect()]
+        listed = F.array(*[F.struct(F.lit(i).cast("long").alias("id"), F.lit(t).alias("item")) for i, t in few])
+        parts.append(texts.select(F.explode(F.filter(listed, lambda x: F.col("text").contains(x["item"]))).alias("x"), "article_id").select(F.col("x.id").alias("question_id"), "article_id"))
+    if not parts:
+        return texts.limit(0).select(F.col("article_id").alias("question_id"), "article_id")
+    found = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+    return found.distinct()
 
 
 @query(f"{S.base()} SELECT word, df, round(idf, 6) AS idf FROM idf")
 def document_frequency(spark: SparkSession, sf: str) -> DataFrame:
     c = Corpus(spark, sf)
-    return tfidf.document_frequency(tfidf.term_counts(c.postings), c.n).select("word", "df", F.round("idf", 6).alias("idf"))
+    return tfidf.with_idf(c.vocabulary, c.n).select("word", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"{S.base()} SELECT question_id, word, round(qw, 6) AS qw FROM qw")
 def question_weights(spark: SparkSession, sf: str) -> DataFrame:
     c = Corpus(spark, sf)
-    idf = tfidf.document_frequency(tfidf.term_counts(c.postings), c.n)
-    return tfidf.question_weights(c.questions, idf).select("question_id", "word", F.round("qw", 6).alias("qw"))
+    return tfidf.question_weights(c.questions, tfidf.with_idf(c.vocabulary, c.n)).select("question_id", "word", F.round("qw", 6).alias("qw"))
 
 
 @query(S.document_rank("tf-idf"))
 def tfidf_rank(spark: SparkSession, sf: str) -> DataFrame:
     c = Corpus(spark, sf)
-    return shown(tfidf.score_documents(c.questions, c.postings, c.n), "tf-idf")
+    return shown(c.scores(), "tf-idf")
 
 
 @query(S.document_rank("cosine"))
 def cosine_rank(spark: SparkSession, sf: str) -> DataFrame:
     c = Corpus(spark, sf)
-    return shown(tfidf.score_documents(c.questions, c.postings, c.n, "cosine"), "cosine")
+    return shown(c.scores("cosine"), "cosine")
 
 
 @query(S.document_rank("euclidean"))
 def euclidean_rank(spark: SparkSession, sf: str) -> DataFrame:
     c = Corpus(spark, sf)
-    return shown(tfidf.score_documents(c.questions, c.postings, c.n, "euclidean"), "euclidean")
+    return shown(c.scores("euclidean"), "euclidean")
 
 
 @query(S.document_rank("cityblock"))
 def cityblock_rank(spark: SparkSession, sf: str) -> DataFrame:
     c = Corpus(spark, sf)
-    return shown(tfidf.score_documents(c.questions, c.postings, c.n, "cityblock"), "cityblock")
+    return shown(c.scores("cityblock"), "cityblock")
 
 
 @query(S.document_rank("cosine", min_idf=2.0))
 def min_idf_filter(spark: SparkSession, sf: str) -> DataFrame:
     c = Corpus(spark, sf)
-    return shown(tfidf.score_documents(c.questions, c.postings, c.n, "cosine", min_idf=2.0), "cosine")
+    return shown(c.scores("cosine", min_idf=2.0), "cosine")
 
 
 BIGRAMS = """pairs AS (SELECT article_id, word || ' ' || second AS word FROM (SELECT article_id, word, lead(word) OVER (PARTITION BY article_id ORDER BY pos) AS second FROM post) WHERE second IS NOT NULL),
@@ -113,13 +161,13 @@ def _bigram_sql(comparator: str) -> str:
 @query(_bigram_sql("tf-idf"))
 def bigram_rank(spark: SparkSession, sf: str) -> DataFrame:
     c = Corpus(spark, sf)
-    return shown(tfidf.score_bigrams(c.questions, c.postings, c.n), "tf-idf")
+    return shown(tfidf.score_bigrams(c.questions, c.articles, c.n), "tf-idf")
 
 
 @query(_bigram_sql("cosine"))
 def bigram_cosine_rank(spark: SparkSession, sf: str) -> DataFrame:
     c = Corpus(spark, sf)
-    return shown(tfidf.score_bigrams(c.questions, c.postings, c.n, "cosine"), "cosine")
+    return shown(tfidf.score_bigrams(c.questions, c.articles, c.n, "cosine"), "cosine")
 
 
 TITLE_POST = f"""traw AS (SELECT doc_id AS article_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM (SELECT doc_id, {S.TOKENS.format("split_part(text, chr(10), 1)")} AS w FROM documents)),
@@ -131,25 +179,25 @@ n AS (SELECT count(*) AS n FROM kept0)"""
 @query("WITH " + ",\n".join([S.RAW, S.STOP, TITLE_POST, S.QUESTIONS, S.WEIGHTS.format(min_idf=0.0), S.WEIGHTED, S.SUMS, S.rank_of("tf-idf")]))
 def title_rank(spark: SparkSession, sf: str) -> DataFrame:
     c = Corpus(spark, sf, title=True)
-    return shown(tfidf.score_documents(c.questions, c.postings, c.n), "tf-idf")
+    return shown(c.scores(), "tf-idf")
 
 
 @query(S.window_rank("tf-idf", 15))
 def window_tfidf_rank(spark: SparkSession, sf: str) -> DataFrame:
     c = Corpus(spark, sf)
-    return shown(tfidf.score_windows(c.questions, c.postings, c.n, 15), "tf-idf")
+    return shown(c.windows(15, top=TOP), "tf-idf")
 
 
 @query(S.window_rank("cosine", 15))
 def window_cosine_rank(spark: SparkSession, sf: str) -> DataFrame:
     c = Corpus(spark, sf)
-    return shown(tfidf.score_windows(c.questions, c.postings, c.n, 15, "cosine"), "cosine")
+    return shown(c.windows(15, "cosine", top=TOP), "cosine")
 
 
 @query(S.window_rank("tf-idf", 250))
 def wide_window_tfidf_rank(spark: SparkSession, sf: str) -> DataFrame:
     c = Corpus(spark, sf)
-    return shown(tfidf.score_windows(c.questions, c.postings, c.n, 250), "tf-idf")
+    return shown(c.windows(250, top=TOP), "tf-idf")
 
 
 @query(S.base(S.window_best("tf-idf", 15), """top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(weight, 6) DESC, article_id) AS place FROM best) WHERE place <= 3)
@@ -157,8 +205,8 @@ SELECT t.question_id, t.article_id, string_agg(DISTINCT p.word, ' ' ORDER BY p.w
 SEMI JOIN (SELECT DISTINCT question_id AS q, word AS w FROM qpost) q ON q.q = t.question_id AND q.w = p.word GROUP BY ALL"""))
 def best_window_words(spark: SparkSession, sf: str) -> DataFrame:
     c = Corpus(spark, sf)
-    best = ranking.top(tfidf.score_windows(c.questions, c.postings, c.n, 15), TOP, False)
-    return tfidf.window_words(best, c.questions, c.postings, 15)
+    best = ranking.top(c.windows(15, top=TOP), TOP, False)
+    return tfidf.window_words(best, c.questions, c.articles, 15)
 
 
 RANKED_ALL = S.base(S.WEIGHTED, S.SUMS, f"""scores AS (SELECT question_id, article_id, {S.COMPARE["tf-idf"]} AS weight FROM sums LEFT JOIN norms USING (question_id)),
@@ -166,9 +214,11 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(
 SOLVED = """solved AS (SELECT question_id, article_id, coalesce(position, 100000) AS position, coalesce(weight, 0.0) AS weight FROM gold LEFT JOIN ranked USING (question_id, article_id))"""
 
 
-def _tfidf_ranks(spark: SparkSession, sf: str) -> DataFrame:
-    c = Corpus(spark, sf)
-    return ranking.ranked(tfidf.score_documents(c.questions, c.postings, c.n), False)
+def _tfidf_ranks(spark: SparkSession, sf: str, answers: DataFrame, k: int = 0) -> DataFrame:
+    """Ranks of the answers, and of the k best."""
+    scores = store(Corpus(spark, sf).scores(), "scores")
+    gold = ranking.gold_ranks(answers, scores, False)
+    return gold.unionByName(ranking.top(scores, k, False)).distinct() if k else gold
 
 
 @query(f"WITH {S.GOLD} SELECT question_id, article_id FROM gold")
@@ -178,19 +228,22 @@ def gold(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{RANKED_ALL}, {SOLVED} SELECT question_id, article_id, position, round(weight, 5) AS weight FROM solved")
 def solutions(spark: SparkSession, sf: str) -> DataFrame:
-    found = ranking.solutions(gold_answers(spark, sf), _tfidf_ranks(spark, sf), False)
+    answers = store(gold_answers(spark, sf), "answers")
+    found = ranking.solutions(answers, _tfidf_ranks(spark, sf, answers), False)
     return found.select("question_id", "article_id", F.col("position").cast("long").alias("position"), F.round("weight", 5).alias("weight"))
 
 
 @query(f"""{RANKED_ALL} SELECT question_id, article_id, round(coalesce(weight, 0.0), 5) AS weight FROM ranked FULL JOIN (SELECT *, true AS g FROM gold) USING (question_id, article_id) WHERE position <= 10 OR g""")
 def rates_topk_gold(spark: SparkSession, sf: str) -> DataFrame:
-    found = ranking.rates(gold_answers(spark, sf), _tfidf_ranks(spark, sf), 10, False)
+    answers = store(gold_answers(spark, sf), "answers")
+    found = ranking.rates(answers, _tfidf_ranks(spark, sf, answers, 10), 10, False)
     return found.select("question_id", "article_id", F.round("weight", 5).alias("weight"))
 
 
 @query(f"{RANKED_ALL}, {SOLVED} SELECT 'tf-idf' AS method, count(*) AS answers, round(coalesce(avg((position <= 1)::INT), 0), 6) AS p_1, round(coalesce(avg((position <= 10)::INT), 0), 6) AS p_10, round(coalesce(avg((position <= 100)::INT), 0), 6) AS p_100, round(coalesce(avg(1.0::DOUBLE / position), 0), 6) AS mrr FROM solved")
 def tfidf_report(spark: SparkSession, sf: str) -> DataFrame:
-    found = ranking.solutions(gold_answers(spark, sf), _tfidf_ranks(spark, sf), False)
+    answers = store(gold_answers(spark, sf), "answers")
+    found = ranking.solutions(answers, _tfidf_ranks(spark, sf, answers), False)
     return evaluate.report(found.withColumn("method", F.lit("tf-idf")))
 
 
@@ -267,13 +320,13 @@ dims AS (SELECT word, unnest(vec)::DOUBLE AS x, generate_subscripts(vec, 1) AS d
 QVEC = """qw0 AS (SELECT DISTINCT question_id, word FROM qpost), qvec AS (SELECT question_id, list(m ORDER BY dim) AS q FROM (SELECT question_id, dim, avg(x) AS m FROM qpost JOIN dims USING (word) GROUP BY ALL) GROUP BY question_id)"""
 
 
-def word_vectors(spark: SparkSession, sf: str, postings: DataFrame) -> DataFrame:
-    """Only as many words as there are vectors are ranked by df."""
+def word_vectors(spark: SparkSession, sf: str, vocabulary: DataFrame) -> DataFrame:
+    """(word, vec) of the words that have a vector, numbered by df: only as many as there are vectors are taken."""
     e = table(spark, sf, "embeddings")
     have = e.agg(F.max("vec_id")).first()[0] + 1
-    common = postings.select("article_id", "word").distinct().groupBy("word").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "word").limit(have)
+    common = vocabulary.orderBy(F.desc("df"), "word").limit(have)
     numbered = common.withColumn("vec_id", (F.row_number().over(Window.orderBy(F.desc("df"), "word")) - 1).cast("long"))
-    return numbered.join(e, "vec_id").select("word", F.col("embedding").cast("array<double>").alias("vec"))
+    return store(numbered.join(e, "vec_id").select("word", F.col("embedding").cast("array<double>").alias("vec")), "vectors")
 
 
 def _all_question_words(c: Corpus) -> DataFrame:
@@ -283,7 +336,7 @@ def _all_question_words(c: Corpus) -> DataFrame:
 @query(f"{S.base(VOCAB, QVEC)} SELECT question_id, round(list_sum(q), 5) AS total, round(q[1], 5) AS head, CAST(len(q) AS BIGINT) AS size FROM qvec")
 def mean_vector(spark: SparkSession, sf: str) -> DataFrame:
     c = Corpus(spark, sf)
-    q = vectors.question_vectors(_all_question_words(c), word_vectors(spark, sf, c.postings))
+    q = vectors.question_vectors(_all_question_words(c), word_vectors(spark, sf, c.vocabulary))
     return q.select("question_id", F.round(F.aggregate("qvec", F.lit(0.0), lambda a, x: a + x), 5).alias("total"), F.round(F.get("qvec", F.lit(0)), 5).alias("head"), F.size("qvec").cast("long").alias("size"))
 
 
@@ -299,7 +352,7 @@ avec AS (SELECT question_id, article_id, list(m ORDER BY dim) AS v FROM (SELECT
 @query(S.base(VOCAB, QVEC, _avec("qw0"), W2V_RANK))
 def w2v_rank_top0(spark: SparkSession, sf: str) -> DataFrame:
     c = Corpus(spark, sf)
-    found = vectors.rank_common_words(_all_question_words(c), c.articles, word_vectors(spark, sf, c.postings).cache(), TOP)
+    found = vectors.rank_common_words(_all_question_words(c), c.articles, word_vectors(spark, sf, c.vocabulary), TOP)
     return shown(found, "cosine")
 
 
@@ -310,16 +363,16 @@ FROM (SELECT * FROM vecs SEMI JOIN given USING (word)) a JOIN vecs b ON a.word <
 @query(f"{S.base(VOCAB, SIMILAR)} SELECT word, near_word FROM sim")
 def similar_words_topn(spark: SparkSession, sf: str) -> DataFrame:
     c = Corpus(spark, sf)
-    return vectors.similar_words(_all_question_words(c), word_vectors(spark, sf, c.postings), 10).withColumnRenamed("similar", "near_word")
+    return vectors.similar_words(_all_question_words(c), word_vectors(spark, sf, c.vocabulary), 10).withColumnRenamed("similar", "near_word")
 
 
 @query(S.base(VOCAB, QVEC, SIMILAR, "qexp AS (SELECT DISTINCT q.question_id, sim.near_word AS word FROM qw0 q JOIN sim ON sim.word = q.word)", _avec("qexp"), W2V_RANK))
 def w2v_rank_topn(spark: SparkSession, sf: str) -> DataFrame:
     c = Corpus(spark, sf)
-    vecs, words = word_vectors(spark, sf, c.postings), _all_question_words(c)
+    vecs, words = word_vectors(spark, sf, c.vocabulary), _all_question_words(c)
     near = vectors.similar_words(words, vecs, 10)
     expanded = words.join(near, "word").select("question_id", F.col("similar").alias("word")).distinct()
-    return shown(vectors.rank_common_words(words, c.articles, vecs.cache(), TOP, expanded), "cosine")
+    return shown(vectors.rank_common_words(words, c.articles, vecs, TOP, expanded), "cosine")
 
 
 @query(S.base(VOCAB, QVEC, """mvec AS (SELECT article_id, list(m ORDER BY dim) AS v FROM (SELECT article_id, dim, avg(x) AS m FROM post JOIN dims USING (word) GROUP BY ALL) GROUP BY ALL),
@@ -327,7 +380,7 @@ dist AS (SELECT q.question_id, a.article_id, round(1 - list_cosine_similarity(a.
 SELECT question_id, article_id, round(weight, 5) AS weight FROM r WHERE position <= 3"""))
 def w2v_rank_all(spark: SparkSession, sf: str) -> DataFrame:
     c = Corpus(spark, sf)
-    found = vectors.score_all_words(_all_question_words(c), c.postings.select("article_id", "word"), word_vectors(spark, sf, c.postings), TOP)
+    found = vectors.score_all_words(_all_question_words(c), c.articles, word_vectors(spark, sf, c.vocabulary), TOP)
     return found.select("question_id", "article_id", F.round("weight", 5).alias("weight"))
 
 
@@ -337,7 +390,7 @@ lack AS (SELECT word FROM vocab ANTI JOIN vecs USING (word)), fb AS (SELECT l.wo
 SELECT word, round(sum(x), 5) AS total FROM (SELECT word, x FROM dims UNION ALL SELECT word, x FROM fb) GROUP BY word"""))
 def vector_fallback(spark: SparkSession, sf: str) -> DataFrame:
     c = Corpus(spark, sf)
-    found = vectors.with_fallback(c.postings.select("word"), word_vectors(spark, sf, c.postings), I.word_forms(table(spark, sf, "documents")))
+    found = vectors.with_fallback(c.vocabulary, word_vectors(spark, sf, c.vocabulary), I.word_forms(table(spark, sf, "documents")))
     return found.select("word", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
@@ -605,7 +658,7 @@ def questions_with_answers(spark: SparkSession, sf: str) -> DataFrame:
 
 def _features(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
     c, t = Corpus(spark, sf), Corpus(spark, sf, title=True)
-    vecs = word_vectors(spark, sf, c.postings).cache()
+    vecs = word_vectors(spark, sf, c.vocabulary)
     questions = vectors.mean_vectors(_all_question_words(c).join(vecs, "word"), "question_id", 64)
     contents = vectors.mean_vectors(c.postings.join(vecs, "word"), "article_id", 64)
     titles = vectors.mean_vectors(t.postings.join(vecs, "word"), "article_id", 64)
@@ -626,7 +679,7 @@ def dan_mlp(spark: SparkSession, sf: str) -> DataFrame:
 def cnn_forward(spark: SparkSession, sf: str) -> DataFrame:
     """The two-tower network's forward pass: towers once an article and question, the head once a pair."""
     c, t = Corpus(spark, sf), Corpus(spark, sf, title=True)
-    vecs = word_vectors(spark, sf, c.postings).cache()
+    vecs = word_vectors(spark, sf, c.vocabulary)
 
     def matrix(rows: DataFrame, key: str, pos: Column) -> DataFrame:
         each = rows.join(vecs, "word").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(pos.alias("p"), "vec"))).alias("s"))

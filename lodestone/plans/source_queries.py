@@ -70,7 +70,7 @@ def stream_questions(spark: SparkSession, sf: str) -> DataFrame:
     c = Corpus(spark, sf)
 
     def rank(batch: DataFrame) -> DataFrame:
-        return ranking.top(tfidf.score_documents(batch, c.postings, c.n), TOP, False)
+        return ranking.top(tfidf.score_documents(batch, c.articles, c.n, frequencies=c.frequencies), TOP, False)
 
     source = place(spark, "incoming")
     table(spark, sf, "benchmark").repartition(4, "item_id").write.parquet(source)

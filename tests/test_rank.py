@@ -10,8 +10,8 @@ TEXTS = {1: "kot pies kot dom", 2: "pies dom las", 3: "las las rzeka", 4: "kot l
 
 
 def corpus(spark, texts=TEXTS, question="kot pies"):
-    rows = [(a, p, w) for a, t in texts.items() for p, w in enumerate(t.split())]
-    return spark.createDataFrame([(1, question.split())], "question_id long, words array<string>"), spark.createDataFrame(rows, "article_id long, pos int, word string")
+    rows = [(a, t.split()) for a, t in texts.items()]
+    return spark.createDataFrame([(1, question.split())], "question_id long, words array<string>"), spark.createDataFrame(rows, "article_id long, words array<string>")
 
 
 def scores(df):
@@ -87,6 +87,33 @@ def test_windows_match_brute_force(spark, comparator):
     assert set(got) == set(want) and all(abs(got[a] - want[a]) < 1e-5 for a in want)
 
 
+def test_windows_of_many_questions(spark):
+    rng = random.Random(2)
+    texts = {a: " ".join(rng.choices("abcdefgh", k=rng.randint(3, 40))) for a in range(12)}
+    questions = {i: " ".join(rng.choices("abcdefghz", k=5)) for i in range(9)}
+    _, articles = corpus(spark, texts)
+    asked = spark.createDataFrame([(i, t.split()) for i, t in questions.items()], "question_id long, words array<string>")
+    want = sorted((i, a, x) for i, t in questions.items() for a, x in brute_windows(texts, t, 4, "tf-idf").items())
+    got = sorted((r["question_id"], r["article_id"], r["weight"]) for r in tfidf.score_windows(asked, articles, len(texts), 4).collect())
+    assert [x[:2] for x in want] == [x[:2] for x in got] and all(abs(x[2] - y[2]) < 1e-6 for x, y in zip(want, got, strict=True))
+    best = {(i, a) for q in questions for i, a, _ in sorted((x for x in want if x[0] == q), key=lambda x: (-round(x[2], 6), x[1]))[:2]}
+    assert best <= {(r["question_id"], r["article_id"]) for r in tfidf.score_windows(asked, articles, len(texts), 4, top=2).collect()}
+
+
+def test_windows_in_small_steps(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    q = tfidf.Questions([(i, w, 1.0 + ord(w) / 100, None if w == "c" else 0.1) for i in range(5) for w in "abcd" if (i + ord(w)) % 3], {i: (0.5, 0.4) for i in range(5)})
+    article = np.repeat(np.arange(6), 20)
+    word, pos = rng.integers(0, 4, 120), np.tile(np.cumsum(rng.integers(1, 4, 20)), 6)
+    run = lambda: sorted((int(a), int(b), int(c), round(float(d), 9)) for part in tfidf._windows(q, article, pos, word, 5, "cosine", 3.0, 0, 5) for a, b, c, d in zip(*part, strict=True))
+    whole = run()
+    for step in (1, 30, 200):
+        monkeypatch.setattr(tfidf, "STEP_ROWS", step)
+        assert run() == whole and len(whole) == 30
+
+
 def test_ranks_solutions_and_rates(spark):
     q, p = corpus(spark)
     ranks = ranking.ranked(tfidf.score_documents(q, p, 4), False)
