@@ -95,12 +95,17 @@ def _placed(found: DataFrame, k: int, decimals: int, query: str, row: str) -> Da
     return found.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
-def _word_numbers(words: pa.ListArray, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the row, number of the word) of all words of lists that are among the known ones."""
+def _placed_numbers(words: pa.ListArray, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the row, number of the word, place in the row) of all words of lists that are among the known ones."""
     sizes = np.diff(words.offsets.to_numpy())
     number = pc.index_in(words.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
     hit = np.flatnonzero(number >= 0)
-    return np.repeat(np.arange(len(sizes)), sizes)[hit], number[hit].astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)[hit]
+    return row, number[hit].astype(np.int64), hit - (np.cumsum(sizes) - sizes)[row]
+
+
+def _word_numbers(words: pa.ListArray, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return _placed_numbers(words, known)[:2]
 
 
 def rank_common_words(question_words: DataFrame, articles: DataFrame, vectors: DataFrame, k: int, expanded: DataFrame | None = None, query_bytes: int = BROADCAST_BYTES) -> DataFrame:

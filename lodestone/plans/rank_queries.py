@@ -48,6 +48,7 @@ class Corpus:
 
     def __init__(self, spark: SparkSession, sf: str, title: bool = False) -> None:
         articles, vocabulary, self.stop, self.n = _ingest(spark, sf)
+        self.fields = spark.read.parquet(articles)
         self.articles = spark.read.parquet(articles).select("article_id", F.col("title" if title else "content").alias("words"))
         #: how many articles have a word in their text; titles are rarer, and counted where they are asked for
         self.frequencies = None if title else spark.read.parquet(vocabulary)
@@ -624,12 +625,21 @@ def training_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select("question_id", "article_id", F.col("target").cast("long").alias("target"))
 
 
-@query()
+@query(f"""WITH {S.GOLD}, a AS (SELECT doc_id AS article_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents),
+d AS (SELECT question_id, ('0x' || left(md5(question_id || ':' || article_id || ':' || i || ':10'), 15))::BIGINT % (SELECT count(*) FROM documents) AS place FROM gold, (SELECT unnest([1, 2, 3]) AS i))
+SELECT DISTINCT question_id, a.article_id FROM d JOIN a USING (place) ANTI JOIN gold g ON g.question_id = d.question_id AND g.article_id = a.article_id""")
 def random_negatives(spark: SparkSession, sf: str) -> DataFrame:
     articles = table(spark, sf, "documents").select(F.col("doc_id").alias("article_id"))
     return learn.random_negatives(articles, gold_answers(spark, sf), ratio=3)
 
 
+@query("SELECT item_id, row_number() OVER (ORDER BY md5(item_id || ':10'), item_id) AS place FROM benchmark QUALIFY place <= 50")
+def permuted_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 50 of a random order."""
+    first = learn.permuted(table(spark, sf, "benchmark").select("item_id"), "item_id").limit(50)
+    return first.select("item_id", F.row_number().over(Window.orderBy(F.md5(F.concat_ws(":", "item_id", F.lit(10))), "item_id")).cast("long").alias("place"))
+
+
 @query("WITH l AS (SELECT *, n_chars > 2000 AS p FROM labels JOIN documents USING (doc_id)) SELECT count(*) AS n, round(avg((p::INT = quality)::INT), 6) AS accuracy FROM l")
 def accuracy(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
@@ -656,40 +666,41 @@ def questions_with_answers(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.with_answers(items, gold_answers(spark, sf))
 
 
-def _features(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
-    c, t = Corpus(spark, sf), Corpus(spark, sf, title=True)
-    vecs = word_vectors(spark, sf, c.vocabulary)
-    questions = vectors.mean_vectors(_all_question_words(c).join(vecs, "word"), "question_id", 64)
-    contents = vectors.mean_vectors(c.postings.join(vecs, "word"), "article_id", 64)
-    titles = vectors.mean_vectors(t.postings.join(vecs, "word"), "article_id", 64)
-    answers = gold_answers(spark, sf)
-    pairs = learn.training_pairs(answers, learn.random_negatives(c.articles.select("article_id"), answers, ratio=2))
-    return pairs, questions, titles, contents, 64
+def _learning(spark: SparkSession, sf: str, ratio: int) -> tuple[Corpus, DataFrame, learn.Words, DataFrame]:
+    """The index, its articles by field, word vectors, and training pairs with the question's part: 0, 1 or 2."""
+    c = Corpus(spark, sf)
+    articles = c.fields.select("article_id", "title", "content")
+    answers = store(gold_answers(spark, sf).join(articles.select("article_id"), "article_id", "left_semi"), "answers")
+    pairs = learn.training_pairs(answers, learn.random_negatives(articles.select("article_id"), answers, ratio))
+    parts = evaluate.split(answers.select("question_id").distinct(), (60, 20, 20), "question_id")
+    return c, articles, learn.Words(word_vectors(spark, sf, c.vocabulary)), store(pairs.join(parts, "question_id"), "pairs")
 
 
 @query()
-def dan_mlp(spark: SparkSession, sf: str) -> DataFrame:
-    """A deep-averaging perceptron, trained and applied; its weights depend on the seed and the rows only."""
-    pairs, questions, titles, contents, size = _features(spark, sf)
-    rows = learn.averaged_features(pairs, questions, titles, contents, size).cache()
-    return learn.predict_averaging(learn.fit_averaging(rows, size), rows)
+def dan_rank(spark: SparkSession, sf: str) -> DataFrame:
+    """The deep-averaging perceptron, fitted on the training questions' pairs, over all questions and articles."""
+    c, articles, words, pairs = _learning(spark, sf, 2)
+    size = words.matrix.shape[1]
+    questions = store(learn.averaged(c.questions, "question_id", words, ["words"]), "question-means")
+    means = store(learn.averaged(articles, "article_id", words, ["title", "content"]), "article-means")
+    model = learn.fit_averaging(pairs.where("part = 0"), questions, means, size)
+    return _learned(learn.score_averaging(model, questions, means, size, TOP))
 
 
 @query()
-def cnn_forward(spark: SparkSession, sf: str) -> DataFrame:
-    """The two-tower network's forward pass: towers once an article and question, the head once a pair."""
-    c, t = Corpus(spark, sf), Corpus(spark, sf, title=True)
-    vecs = word_vectors(spark, sf, c.vocabulary)
-
-    def matrix(rows: DataFrame, key: str, pos: Column) -> DataFrame:
-        each = rows.join(vecs, "word").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(pos.alias("p"), "vec"))).alias("s"))
-        return each.select(key, F.transform("s", lambda s: s["vec"]).alias("vecs"))
-
-    w = learn.convolution_weights(64)
-    questions = learn.tower_features(matrix(c.questions.select("question_id", F.posexplode("words").alias("pos", "word")), "question_id", F.col("pos")), "question_id", w)
-    contents = learn.tower_features(matrix(c.postings, "article_id", F.col("pos")), "article_id", w)
-    titles = learn.tower_features(matrix(t.postings, "article_id", F.col("pos")), "article_id", w)
-    return learn.convolution_scores(gold_answers(spark, sf), questions, titles, contents, w)
+def cnn_rank(spark: SparkSession, sf: str) -> DataFrame:
+    """The two-tower network, trained with validation, stored, read back, over all questions and articles."""
+    c, articles, words, pairs = _learning(spark, sf, 2)
+    data = [learn.numbered(learn.pair_texts(pairs.where(F.col("part") == i), c.questions, articles), words) for i in (0, 1)]
+    weights, _ = learn.fit_convolution(*data, words.matrix)
+    path = place(spark, "cnn-weights")
+    learn.save_weights(spark, weights, path)
+    return _learned(learn.score_convolution(c.questions, articles, words, learn.load_weights(spark, path), TOP))
+
+
+def _learned(scores: DataFrame) -> DataFrame:
+    found = ranking.ranked(scores, False)
+    return found.select("question_id", "article_id", F.col("position").cast("long").alias("position"), F.round("weight", 5).alias("weight"))
 
 
 @query("SELECT DISTINCT word FROM (SELECT unnest(string_split(text, ' ')) AS word FROM benchmark INTERSECT SELECT unnest(string_split(text, ' ')) FROM conversations)")
