@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon, learned from labels and matched with Aho-Corasick.
 
-Texts are folded first: lower case, compatibility forms and accents taken apart and combining marks and zero-width
-characters taken out, look-alikes of other scripts to Latin letters, digits and signs that stand for letters to those
+Texts are folded first: compatibility forms to plain ones, lower case, zero-width characters and combining marks that
+make no letter of their own taken out (accents of letters stay: words differ by them), look-alikes of other scripts to Latin letters, digits and signs that stand for letters to those
 letters (`!` and `|` only between letters).  Lexicon entries are whole words or word beginnings.  A match inside an
 exception phrase doesn't count.  The score is logistic in the summed weights over a power of the text's length in words.
 The power is one of POWERS, the one with the least loss on the training rows: labels mark texts with a few words of
@@ -43,6 +43,8 @@ SAMPLE, FOLDS = 16_000, 5
 SHORTEST, LONGEST = 4, 8
 #: Toxic documents that an entry must explain anew.
 LEAST = 3
+#: Log odds that an entry must add at least.
+STRONG = 3.0
 #: Powers of the length that are tried.
 POWERS = (0.0, 0.125, 0.25, 0.5, 1.0)
 # Characters of other scripts that look like Latin letters, and those letters.
@@ -66,7 +68,7 @@ INSIDE = re.compile(r"(?<=[^\W_])[!|](?=[^\W_])")
 
 def fold(text: str) -> str:
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text)
+        text = unicodedata.normalize("NFKC", text)
     if "!" in text or "|" in text:
         text = INSIDE.sub(lambda m: INNER[m[0]], text)
     return text.lower().translate(FOLD)
@@ -176,7 +178,7 @@ def _weight(pos: int, neg: int, toxic: int, clean: int) -> float:
 def _cover(having: list[set[str]], pos: dict[str, int], neg: dict[str, int], toxic: int, clean: int) -> dict[str, float]:
     """Entries, each the one that then explains most toxic documents, of equals the most specific."""
     weight = {e: _weight(n, neg.get(e, 0), toxic, clean) for e, n in pos.items()}
-    good = {e for e, w in weight.items() if w > 3 and pos[e] > 20 * neg.get(e, 0) * toxic / max(clean, 1)}
+    good = {e for e, w in weight.items() if w > STRONG and pos[e] > 20 * neg.get(e, 0) * toxic / max(clean, 1)}
     left = [x & good for x in having]
     gain = Counter(e for x in left for e in x)
     where: dict[str, list[int]] = {}
