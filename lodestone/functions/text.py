@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # Java's \w and \d are ASCII only, so classes are spelled out.
 ARTICLE_TOKEN = r"(\p{Nd}+(?:\.|,)\p{Nd}+|[\p{L}\p{N}_]+|\.)"
 QUESTION_TOKEN = r"(\p{Nd}+(?:\.|,)\p{Nd}+|[\p{L}\p{N}_]+)"
+# Namespaces whose pages are no articles.
+IGNORED_NAMESPACES = ("Wikipedia", "File", "Portal", "Template", "MediaWiki", "User", "Help", "Book", "Draft", "WikiProject", "Special", "Talk")
 IGNORED_SECTIONS = ("bibliografia", "linki zewnętrzne", "zobacz też", "przypisy", "uwagi")
 
 
@@ -34,38 +36,48 @@ def title_of(text: Column) -> Column:
     return F.split_part(text, F.lit("\n"), F.lit(1))
 
 
-def _without_templates(text: Column) -> Column:
-    """text without templates and their arguments, innermost first, in as many passes as they are deep."""
-    braces = F.transform(F.regexp_extract_all(text, F.lit(r"\{\{|\}\}"), F.lit(0)), lambda b: F.when(b == "{{", 1).otherwise(-1))
+def _inside_out(text: Column, opens: str, closes: str, pattern: str, into: str) -> Column:
+    """text with a pattern of innermost pairs replaced, in as many passes as pairs are deep in it."""
+    marks = F.transform(F.regexp_extract_all(text, F.lit(f"{opens}|{closes}"), F.lit(0)), lambda b: F.when(b.rlike(opens), 1).otherwise(-1))
     zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
     def step(acc: Column, b: Column) -> Column:
         now = F.greatest(acc["now"] + b, F.lit(0))
         return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
 
-    passes = F.sequence(F.lit(1), F.aggregate(braces, zero, step)["most"] + 2)
-    return F.aggregate(passes, text, lambda acc, _: F.regexp_replace(acc, r"\{\{\{[^{}]*\}\}\}|\{\{[^{}]*\}\}", ""))
+    passes = F.sequence(F.lit(1), F.aggregate(marks, zero, step)["most"] + 2)
+    return F.aggregate(passes, text, lambda acc, _: F.regexp_replace(acc, pattern, into))
 
 
 def strip_markup(text: Column) -> Column:
     """Wiki markup: comments, templates of any depth, references, headings, external links and entities go, tags
-    leave their contents, and a link leaves its target's title; trimmed, in lower case.
+    leave their contents, and a link leaves its target's title, also where links stand in its caption; trimmed, in
+    lower case.
     """
-    for pattern, into in (
-        (r"(?s)<!--.*?-->", ""),
-        (None, None),
-        (r"(?m)^=+[^=\n]+=+[ ]*$", ""),
-        (r"\[\[([^\[\]|#]*)[^\[\]]*\]\]", "$1"),
-        (r"\[(?:https?|ftp)://[^\]\s]*[^\]]*\]", ""),
-        (r"(?:https?|ftp)://[^\s<>\]]+", ""),
-        (r"&#?[A-Za-z0-9]+;", ""),
-        (r"</?[A-Za-z][^<>]*>", ""),
-        (r"'{2,5}", ""),
-    ):
-        text = _without_templates(text) if pattern is None else F.regexp_replace(text, pattern, into)
+    text = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
+    text = _inside_out(text, r"\{\{", r"\}\}", r"\{\{\{[^{}]*\}\}\}|\{\{[^{}]*\}\}", "")
+    text = F.regexp_replace(text, r"(?m)^=+[^=\n]+=+[ ]*$", "")
+    text = _inside_out(text, r"\[\[", r"\]\]", r"\[\[([^\[\]|#]*)[^\[\]]*\]\]", "$1")
+    for pattern in (r"\[(?:https?|ftp)://[^\]\s]*[^\]]*\]", r"(?:https?|ftp)://[^\s<>\]]+", r"&#?[A-Za-z0-9]+;", r"</?[A-Za-z][^<>]*>", r"'{2,5}"):
+        text = F.regexp_replace(text, pattern, "")
     return F.lower(F.trim(text))
 
 
+def top_sections(text: Column, first: str = "Introduction") -> tuple[Column, Column]:
+    """Titles and texts of a page's sections of the top level; what stands before the first heading has the title `first`."""
+    heading = r"(?m)^==[ ]*([^=\n](?:[^\n]*[^=\n])?)==[ ]*$"
+    titles = F.transform(F.regexp_extract_all(text, F.lit(heading), F.lit(1)), lambda x: F.trim(x))
+    return F.concat(F.array(F.lit(first)), titles), F.split(text, heading, -1)
+
+
+def interlinks(text: Column) -> Column:
+    """A page's links as a map of target and anchor (the target itself where there is none), the first of each target."""
+    pattern = r"\[\[([^\[\]|]+)(?:\|([^\[\]|]*))?\]\]"
+    every = lambda i: F.regexp_extract_all(text, F.lit(pattern), F.lit(i))
+    names = F.array_distinct(every(1))
+    return F.map_from_arrays(names, F.transform(names, lambda t: F.coalesce(F.nullif(F.get(every(2), F.array_position(every(1), t).cast("int") - 1), F.lit("")), t)))
+
+
 def joined_sections(titles: Column, texts: Column, ignored: Sequence[str] = IGNORED_SECTIONS) -> Column:
     """Section texts, one right after another, without ignored sections."""
     kept = F.filter(F.arrays_zip(titles.alias("title"), texts.alias("text")), lambda s: ~F.lower(F.trim(s["title"])).isin(*ignored))

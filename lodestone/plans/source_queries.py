@@ -14,6 +14,7 @@ from ..streaming import questions as stream
 from . import sql as S
 from .rank_queries import TOP, Corpus
 from .registry import query, table
+from .text_queries import PLAIN, plain_words
 
 
 @query(f"SELECT split_part(text, chr(10), 1) AS title, CAST(len({S.DOC_TOKENS}) AS BIGINT) AS n_words FROM (SELECT text FROM documents)")
@@ -59,6 +60,21 @@ def xml_dump(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_dump(spark, path, 500).groupBy("title").agg(F.count("*").alias("pages"))
 
 
+@query(f"""SELECT CASE doc_id % 7 WHEN 0 THEN 'Category:Doc ' ELSE 'Doc: ' END || doc_id AS title, a AS base, a || 'a' AS changed FROM ({PLAIN}) WHERE doc_id % 7 <> 1 AND doc_id % 3 = 0""")
+def word_pairs_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Word pairs from the anchors of links, from an XML dump through segmented JSON lines."""
+    i = F.col("doc_id")
+    title = F.concat(F.when(i % 7 == 0, "Category:Doc ").when(i % 7 == 1, "File:Doc ").otherwise("Doc: "), i)
+    # of three anchors the first has another form, the second is the target, the third doesn't begin like it
+    anchor = F.when(i % 3 == 0, F.concat("a", F.lit("a (x y) "), "b")).when(i % 3 == 1, F.concat_ws(" ", "a", "b")).otherwise(F.concat(F.lit("q_"), "a", F.lit(" "), "b"))
+    text = F.concat(F.lit("Intro.\n== Historia ==\nSee [["), "a", F.lit(" "), "b", F.lit("|"), anchor, F.lit("]] and [[Other]]."))
+    dump, lines = place(spark, "dump"), place(spark, "lines")
+    plain_words(spark, sf).select(title.alias("title"), F.struct(text.alias("text")).alias("revision")).write.format("xml").option("rootTag", "mediawiki").option("rowTag", "page").save(dump)
+    readers.write_lines(readers.segmented(readers.read_dump(spark, dump, 5)), lines)
+    links = readers.read_lines(spark, lines).where(F.size("section_titles") == 2).select("title", F.explode("interlinks").alias("target", "anchor"))
+    return links.select("title", F.explode(T.word_pairs(F.col("target"), F.col("anchor"))).alias("p")).select("title", "p.base", "p.changed")
+
+
 @query("SELECT item_id, left(text, 30) AS head FROM benchmark ORDER BY item_id LIMIT 10")
 def first_lines(spark: SparkSession, sf: str) -> DataFrame:
     return readers.first_lines(table(spark, sf, "benchmark"), 10, "item_id").select("item_id", F.left("text", F.lit(30)).alias("head"))

@@ -113,11 +113,27 @@ def redirect_parse(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.redirect_target(x, link, "#patrz").alias("target"))
 
 
-@query(r"""SELECT page_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?:https?|ftp)://[^\s<>\]]+', '', 'g'), '&#?[A-Za-z0-9]+;', '', 'g'), '</?[A-Za-z][^<>]*>', '', 'g'), ' ')) AS stripped
-FROM (SELECT page_id, regexp_replace(regexp_replace(html, '''{2,5}|[\[\]{}=]', '', 'g'), '^\s+', '') AS html FROM pages)""")
+#: Two plain words of a document, of three letters or more.
+PLAIN = "SELECT doc_id, coalesce(w[1], 'none') AS a, coalesce(w[2], 'none') AS b FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{3,}') AS w FROM documents)"
+
+
+def plain_words(spark: SparkSession, sf: str) -> DataFrame:
+    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
+    return table(spark, sf, "documents").select("doc_id", F.coalesce(F.get(w, 0), F.lit("none")).alias("a"), F.coalesce(F.get(w, 1), F.lit("none")).alias("b"))
+
+
+#: Markup of every kind around the words A and B.
+MARKUP = (
+    "  <!-- no {{ B -->A{{T|x={{U|B|{{{1}}}}}}} Link [[A|B]][http://x.org/B out] '''bold'''\n== Head ==\n"
+    "B&nbsp;<ref name=x/> [[File:B.png|thumb|a [[A|caption]] of <b>A</b>]]<i> end</i>https://y.org/A "
+)
+
+
+@query(f"SELECT doc_id, a || ' link ' || a || ' bold' || chr(10) || b || ' file:' || b || '.png end' AS stripped FROM ({PLAIN})")
 def strip_markup(spark: SparkSession, sf: str) -> DataFrame:
-    plain = F.regexp_replace(F.regexp_replace("html", r"'{2,5}|[\[\]{}=]", ""), r"^\s+", "")
-    return table(spark, sf, "pages").select("page_id", T.strip_markup(plain).alias("stripped"))
+    """Documents' words in markup of every kind, and what must be left of it; a heading leaves an empty line."""
+    text = F.regexp_replace(F.regexp_replace(F.lit(MARKUP), F.lit(r"\bA\b"), F.col("a")), F.lit(r"\bB\b"), F.col("b"))
+    return plain_words(spark, sf).select("doc_id", F.regexp_replace(T.strip_markup(text), "\n+", "\n").alias("stripped"))
 
 
 @query()

@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_question
+from ..functions.text import IGNORED_NAMESPACES, clean_question, interlinks, top_sections
 
 ARTICLE_LINES = "title string, section_titles array<string>, section_texts array<string>, interlinks map<string,string>, _corrupt_record string"
 SEPARATOR = r"[\t;]"
 
 
-def read_dump(spark: SparkSession, path: str, min_chars: int = 200) -> DataFrame:
-    """(title, text) of the pages of a wiki dump with at least min_chars characters of text."""
+def read_dump(spark: SparkSession, path: str, min_chars: int = 200, ignored: Sequence[str] = IGNORED_NAMESPACES) -> DataFrame:
+    """(title, text) of the pages of a wiki dump with at least min_chars characters of text, but those of namespaces that
+    hold no articles; categories are kept.
+    """
     pages = spark.read.format("xml").option("rowTag", "page").schema("title string, ns long, revision struct<text:string>").load(path)
-    return pages.select("title", F.col("revision.text").alias("text")).where(F.length("text") >= min_chars)
+    rows = pages.select("title", F.col("revision.text").alias("text")).where(F.length("text") >= min_chars)
+    return rows.where(~F.split_part("title", F.lit(":"), F.lit(1)).isin(*ignored) | ~F.col("title").contains(":"))
+
+
+def segmented(pages: DataFrame) -> DataFrame:
+    """(title, section_titles, section_texts, interlinks) of pages (title, text), as they go into JSON lines."""
+    titles, texts = top_sections(F.col("text"))
+    return pages.select("title", titles.alias("section_titles"), texts.alias("section_texts"), interlinks(F.col("text")).alias("interlinks"))
 
 
 def write_lines(articles: DataFrame, path: str) -> None:
