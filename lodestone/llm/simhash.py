@@ -7,6 +7,8 @@ that half into a table (66 rows); linked pairs meet at a key half-way between th
 of radius two around the whole fingerprint, where everything that meets at a key is within four bits, so that a star of
 links, linear in the members, says the same as all pairs.  Nothing is dropped.
 
+A pipeline's stage takes shingles of STAGE_SHINGLE words and STAGE_PRINTS fingerprints of each text.
+
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; texts under SHINGLE words
 are one shingle; repeated rows are rows like any other; a null doc_id never names a component if another id is in it;
 an empty table gives no rows.
@@ -27,6 +29,8 @@ from .common import bounded_batches, fresh, partitions, scope, store, with_uniqu
 from .components import components
 
 SHINGLE, SEED, DISTANCE, CROWD = 4, 42, 4, 64
+#: Words of a shingle and fingerprints of a text in a filtering stage.
+STAGE_SHINGLE, STAGE_PRINTS = 5, 4
 #: Bytes of texts that are looked at together.
 CHUNK = 1 << 20
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
@@ -62,9 +66,12 @@ def shingle_hashes(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray,
     return hashes, counts
 
 
-def fingerprints(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
-    """The 64-bit fingerprints of texts, as signed integers: a bit is 1 if over half the shingles' hashes have it."""
-    out = np.zeros(len(texts), np.int64)
+def fingerprints(texts: list[bytes], size: int = SHINGLE, prints: int = 1) -> np.ndarray:
+    """(texts, prints) 64-bit fingerprints, as signed integers: a bit is 1 if over half the shingles' hashes have it.
+
+    The first is that of the hashes themselves; each other one is that of the hashes mixed by a number of its own.
+    """
+    out = np.zeros((len(texts), prints), np.int64)
     at = 0
     while at < len(texts):
         stop, held = at, 0
@@ -73,33 +80,45 @@ def fingerprints(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
             stop += 1
         hashes, counts = shingle_hashes(texts[at:stop], size)
         some = np.flatnonzero(counts)
-        if len(some):
-            begins = np.cumsum(counts) - counts
-            sums = np.zeros((len(some), 64), np.int64)
-            if len(some) == 1:
-                for i in range(0, len(hashes), 1 << 16):
-                    bits = np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    sums[0] += bits.sum(axis=0, dtype=np.int64)
-            else:
-                bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                sums[:] = np.add.reduceat(bits, begins[some], axis=0, dtype=np.int32)
-            on = 2 * sums > counts[some][:, None]
-            out[at + some] = np.packbits(on, axis=1, bitorder="little").view("<i8").reshape(-1)
+        for j in range(prints if len(some) else 0):
+            out[at + some, j] = _majority(mixed(hashes, j), counts[some], (np.cumsum(counts) - counts)[some])
         at = stop
     return out
 
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(doc_id, text_hash, fp) of every row, written to the shared folder."""
+def mixed(hashes: np.ndarray, number: int) -> np.ndarray:
+    if not number:
+        return hashes
+    x = hashes ^ np.uint64(number * 0x9E3779B97F4A7C15 & 2**64 - 1)
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(33))
+
+
+def _majority(hashes: np.ndarray, counts: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    sums = np.zeros((len(counts), 64), np.int64)
+    if len(counts) == 1:
+        for i in range(0, len(hashes), 1 << 16):
+            bits = np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            sums[0] += bits.sum(axis=0, dtype=np.int64)
+    else:
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sums[:] = np.add.reduceat(bits, begins, axis=0, dtype=np.int32)
+    return np.packbits(2 * sums > counts[:, None], axis=1, bitorder="little").view("<i8").reshape(-1)
+
+
+def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, prints: int = 1) -> DataFrame:
+    """(doc_id, text_hash, fp, fp1, ...) of every row, written to the shared folder."""
     bounded_batches(docs.sparkSession)
+    names = ["fp", *(f"fp{j}" for j in range(1, prints))]
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or b"" for x in batch.column(2).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fingerprints(texts, size))], names=["doc_id", "text_hash", "fp"])
+            made = fingerprints([x or b"" for x in batch.column(2).cast(pa.binary()).to_pylist()], size, prints)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(made[:, j]) for j in range(prints))], names=["doc_id", "text_hash", *names])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return store(rows.mapInArrow(marked, "doc_id long, text_hash long, fp long"), "fingerprints")
+    return store(rows.mapInArrow(marked, "doc_id long, text_hash long, " + ", ".join(f"{x} long" for x in names)), "fingerprints")
 
 
 def _arrow(**columns: np.ndarray) -> pa.RecordBatch:
@@ -196,11 +215,24 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return found.where("a <> b").unionByName(wide.mapInArrow(stars, "a long, b long"))
 
 
-def rooted(marked: DataFrame) -> DataFrame:
-    """(fp, root) of every distinct fingerprint of `marked`; those that links join have the same root."""
+def rooted(marked: DataFrame, prints: int = 1) -> DataFrame:
+    """(fp, root) of every distinct fingerprint of `marked`; those that links join have the same root.
+
+    With further fingerprints, texts whose further ones are linked are linked as well: of the texts that a component of
+    further fingerprints holds, each is linked to the one with the least fingerprint, so links stay linear in the texts.
+    """
     with scope(marked.sparkSession, "roots"):
         distinct = store(marked.select("fp").distinct(), "distinct")
-        roots = components(fingerprint_links(distinct))
+        links = fingerprint_links(distinct)
+        for j in range(1, prints):
+            name = f"fp{j}"
+            both = store(marked.select("fp", name).distinct(), "both")
+            others = rooted(both.select(F.col(name).alias("fp")))
+            held = store(with_unique(both.withColumnRenamed("fp", "of").withColumnRenamed(name, "fp"), others, "fp", partitions(marked.sparkSession)).select("of", "root").distinct(), "held")
+            least = store(held.groupBy("root").agg(F.min("of").alias("least")), "least-prints")
+            met = with_unique(held, least, "root", partitions(marked.sparkSession))
+            links = links.unionByName(met.where("of <> least").select(F.col("of").alias("a"), F.col("least").alias("b")))
+        roots = components(links)
         return store(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
 
 
@@ -220,14 +252,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return with_unique(marked, labels, "fp", n).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def keep_first(docs: DataFrame, size: int = SHINGLE, prints: int = 1) -> DataFrame:
     """One row of each group of near copies, all columns: the least doc_id (nulls last), then the least hash of the text.
 
-    Of rows that agree in both one stays.
+    Of rows that agree in both one stays.  Two texts are linked where one of `prints` independent fingerprints differs in
+    at most DISTANCE bits: the more there are, the less near copies are missed (README has figures by overlap).
     """
     with scope(docs.sparkSession, "winners"):
-        marked = with_fingerprints(docs, size=size)
-        return first_of(docs, marked, rooted(marked))
+        marked = with_fingerprints(docs, size=size, prints=prints)
+        return first_of(docs, marked, rooted(marked, prints))
 
 
 def first_of(docs: DataFrame, marked: DataFrame, roots: DataFrame) -> DataFrame:

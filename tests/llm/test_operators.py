@@ -313,7 +313,7 @@ def brute_components(prints, distance=4):
 
 def test_fingerprints_match_brute_force():
     data = [(t or "").encode() for t in texts()] * 3
-    assert [x & (2**64 - 1) for x in simhash.fingerprints(data).tolist()] == [brute_fingerprint(t) for t in texts()] * 3
+    assert [x & (2**64 - 1) for x in simhash.fingerprints(data)[:, 0].tolist()] == [brute_fingerprint(t) for t in texts()] * 3
 
 
 @pytest.mark.parametrize("crowd", [64, 3])
@@ -356,6 +356,48 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def brute_stage(texts):
+    """Groups of texts that one of the stage's fingerprints links, bit by bit."""
+    hashes = []
+    for t in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        runs = [" ".join(words[i : i + simhash.STAGE_SHINGLE]) for i in range(max(1, len(words) - simhash.STAGE_SHINGLE + 1))] if words else []
+        hashes.append(np.array([xxhash.xxh64_intdigest(r.encode(), 42) for r in runs], np.uint64))
+    prints = []
+    for j in range(simhash.STAGE_PRINTS):
+        prints.append([sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in simhash.mixed(h, j)) > len(h)) if len(h) else 0 for h in hashes])
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for k in range(i):
+            if any((p[i] ^ p[k]).bit_count() <= simhash.DISTANCE for p in prints):
+                root[max(find(i), find(k))] = min(find(i), find(k))
+    return [find(i) for i in range(len(texts))]
+
+
+def test_stage_of_several_fingerprints_matches_brute_force(spark):
+    rng = random.Random(13)
+    docs = [(i if i is None else i + 1, t) for i, t in hard(spark)]
+    for g in range(8):
+        words = [f"w{rng.randrange(400)}" for _ in range(90)]
+        for k in range(10):
+            made = list(words)
+            for at in rng.sample(range(90), k % 4):
+                made[at] = f"new{rng.randrange(10**6)}"
+            docs.append((1000 + 100 * g + k, " ".join(made)))
+    groups, least = brute_stage([t for _, t in docs]), {}
+    for (i, _), g in zip(docs, groups, strict=True):
+        if i is not None:
+            least[g] = min(least.get(g, i), i)
+    kept = simhash.keep_first(documents(spark, docs), simhash.STAGE_SHINGLE, simhash.STAGE_PRINTS)
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((least.get(g) for g in set(groups)), key=str)
+
+
 # --- shards
 
 

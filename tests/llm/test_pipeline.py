@@ -10,8 +10,7 @@ import corpus_pipeline
 from lodestone.llm import secrets, toxicity
 
 from .cases import LOWER, WORD, documents, texts
-from .test_operators import SPM, brute_secrets
-from .test_overlap import brute_groups
+from .test_operators import SPM, brute_secrets, brute_stage
 
 
 def plain_redaction(text):
@@ -33,12 +32,12 @@ def test_stages_return_the_columns_of_documents(spark, small):
 
 
 def plain_pipeline(rows, lexicon, items):
-    """doc_id -> (n_tokens, ids_sha256) of what the five stages keep: one document of each group of texts whose five-word
-    shingles overlap by 0.8 or more, and none with a window of 13 benchmark words.
+    """doc_id -> (n_tokens, ids_sha256) of what the five stages keep: one document of each group of texts that one of the
+    stage's fingerprints links, and none with a window of 13 benchmark words.
     """
     made = lexicon.automaton()
     kept = [(i, t) for i, t in rows if lexicon.probability(lexicon.evidence(t or "", made)[0]) < 0.5]
-    kept = [d for k, (d, g) in enumerate(zip(kept, brute_groups([t for _, t in kept]), strict=True)) if g == k]
+    kept = [d for k, (d, g) in enumerate(zip(kept, brute_stage([t for _, t in kept]), strict=True)) if g == k]
     words = lambda t: re.findall(WORD, (t or "").translate(LOWER))
     grams = lambda w: {tuple(w[i : i + 13]) for i in range(len(w) - 12)}
     known = set().union(*(grams(words(t)) for _, t in items)) if items else set()
@@ -71,5 +70,5 @@ def test_run_stands_odd_and_empty_tables(spark, small, tmp_path, empty):
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{small}/{name}.parquet").where("false" if empty else "true").write.parquet(str(tmp_path / f"{name}.parquet"))
     got = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    groups = [] if empty else brute_groups(texts())
+    groups = [] if empty else brute_stage(texts())
     assert got == {i for i, g in enumerate(groups) if i == g}
