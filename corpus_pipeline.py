@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import common, decontaminate, overlap, pieces, secrets, toxicity
+from lodestone.llm import common, decontaminate, pieces, secrets, simhash, toxicity
 from lodestone.llm.queries import vocabulary
 
 ORACLE_SQL = None
@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies: overlap of five-word shingles of 0.8 or more."""
-    return overlap.keep_first(docs)
+    """The first document of each group of near copies, by several fingerprints of five-word shingles."""
+    return simhash.keep_first(docs, simhash.STAGE_SHINGLE, simhash.STAGE_PRINTS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
