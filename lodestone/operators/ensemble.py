@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import smaller_first
+from ..storage import stored
 from .ranking import pessimistic_rank
 
 
@@ -62,10 +64,41 @@ def fitness(rates: DataFrame, solutions: DataFrame, population: DataFrame) -> Da
     return runs.groupBy("individual").agg((F.sum("r") / F.sum("n")).alias("mrr"), (F.sum(lead) / F.sum("n")).alias("p1"))
 
 
-def evolve(spark: SparkSession, rates: DataFrame, train: DataFrame, validate: DataFrame, methods: Sequence[str], population: int = 100, generations: int = 20, tournament: int = 50, seed: int = 10) -> tuple[dict[str, float], float]:
+def save_state(spark: SparkSession, path: str, generation: int, people: np.ndarray, best: np.ndarray, most: float, rng: np.random.Generator) -> None:
+    """The population, the best individual and the generator's state as a table of one row."""
+    row = (generation, people.tolist(), best.tolist(), float(most), json.dumps(rng.bit_generator.state))
+    spark.createDataFrame([row], "generation int, people array<array<double>>, best array<double>, most double, state string").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_state(spark: SparkSession, path: str) -> tuple[int, np.ndarray, np.ndarray, float, np.random.Generator]:
+    r = spark.read.parquet(path).first()
+    rng = np.random.default_rng()
+    rng.bit_generator.state = json.loads(r["state"])
+    return r["generation"], np.array(r["people"], float), np.array(r["best"], float), r["most"], rng
+
+
+def apply_best(rates: DataFrame, best: dict[str, float]) -> DataFrame:
+    """(question_id, article_id, weight) of all rates by an individual's method weights; larger is better."""
+    return score(rates, rates.sparkSession.createDataFrame(sorted(best.items()), "method string, w double"))
+
+
+def evolve(
+    spark: SparkSession,
+    rates: DataFrame,
+    train: DataFrame,
+    validate: DataFrame,
+    methods: Sequence[str],
+    population: int = 100,
+    generations: int = 20,
+    tournament: int = 50,
+    seed: int = 10,
+    state: str | None = None,
+) -> tuple[dict[str, float], float]:
     """The method weights with the best MRR on `validate` among the fittest of each generation on `train`, and that MRR.
 
-    The population is a small table; a generation is one distributed job whatever its size.
+    The population is a small table; a generation is one distributed job whatever its size.  With a path `state` each
+    generation's population and the generator's state are kept there, by generation, and a search that was broken off
+    goes on after the last whole one, with the same result.
     """
     rng = np.random.default_rng(seed)
     people = rng.random((population, len(methods)))
@@ -75,8 +108,14 @@ def evolve(spark: SparkSession, rates: DataFrame, train: DataFrame, validate: Da
         got = {r["individual"]: r["mrr"] for r in fitness(rates, solutions, table).collect()}
         return np.array([got.get(i, 0.0) for i in range(len(rows))])
 
-    best, most = people[0], -1.0
-    for generation in range(generations + 1):
+    best, most, begin = people[0], -1.0, 0
+    for g in range(generations, -1, -1) if state else ():
+        if stored(spark, f"{state}/generation={g}"):
+            begin, people, best, most, rng = load_state(spark, f"{state}/generation={g}")
+            break
+    for generation in range(begin, generations + 1):
+        if state and generation > begin:
+            save_state(spark, f"{state}/generation={generation}", generation, people, best, most, rng)
         fit = measured(people, train)
         champion = people[int(fit.argmax())]
         checked = float(measured(champion[None], validate)[0])

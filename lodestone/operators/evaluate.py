@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import store
+
 TOPS = (1, 10, 100)
 
 
@@ -48,16 +50,15 @@ def split(items: DataFrame, shares: Sequence[int], by: str) -> DataFrame:
     return placed.withColumn("part", part).drop("__place")
 
 
-def with_place(items: DataFrame, by: str, bins: int = 1024) -> DataFrame:
-    """items with `__place`, the place from 0 in the order of a whole-number column.
+def with_place(items: DataFrame, by: str, bins: int = 256) -> DataFrame:
+    """items with `__place`, the place from 0 in the order of a column.
 
-    Values are dealt to equal ranges, each numbered by itself and shifted by the counts before it.
+    Rows go to ranges that hold about as many rows each, whatever the values; a range is numbered by itself and shifted by
+    the counts of those before it.  Ranges are kept in the shared folder, so that both steps see the same.
     """
-    low, high = items.agg(F.min(by), F.max(by)).first()
-    width = max(1, ((high or 0) - (low or 0)) // bins + 1)
-    binned = items.withColumn("__bin", F.floor((F.col(by) - F.lit(low or 0)) / width))
+    binned = store(items.repartitionByRange(bins, by).withColumn("__bin", F.spark_partition_id()), "ranges")
     counts = binned.groupBy("__bin").agg(F.count("*").alias("n"))
-    before = counts.select("__bin", (F.sum("n").over(Window.orderBy("__bin")) - F.col("n")).alias("before"))  # at most `bins` + 1 rows
+    before = counts.select("__bin", (F.sum("n").over(Window.orderBy("__bin")) - F.col("n")).alias("before"))  # at most `bins` rows
     inside = F.row_number().over(Window.partitionBy("__bin").orderBy(by)) - 1
     return binned.withColumn("__in", inside).join(F.broadcast(before), "__bin").withColumn("__place", F.col("before") + F.col("__in")).drop("__bin", "__in", "before")
 
@@ -77,6 +78,18 @@ def accuracy(prediction: Column, target: Column, threshold: float = 0.5) -> Colu
     return F.avg(((prediction > threshold).cast("int") == target).cast("double"))
 
 
+def text_report(report: DataFrame, smaller: DataFrame, title: str, tops: Sequence[int] = TOPS, width: int = 60) -> str:
+    """A table in fixed width of a report (method, answers, p_<n>..., mrr): one line a method, by name, with the sign of
+    its better direction.  smaller: (method, is_smaller_first).  Methods are few, as are their lines.
+    """
+    head = f"{title:<{width}}       #" + "".join(f"{t:>8}" for t in tops) + "     MRR"
+    lines = [head]
+    for r in sorted(report.join(smaller, "method", "left").collect(), key=lambda r: r["method"]):
+        scores = "".join(f"{r[f'p_{t}']:>8.4f}" for t in tops) + f"{r['mrr']:>8.4f}"
+        lines.append(f"{'<' if r['is_smaller_first'] else '>'} {r['method']:<{width - 2}} {r['answers']:>7}{scores}")
+    return "\n".join(lines)
+
+
 def table_stats(tables: dict[str, DataFrame]) -> DataFrame:
     """(name, n) of tables."""
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()]

@@ -11,7 +11,9 @@ from ..operators import index as I
 from ..sources import sinks
 from ..storage import place, scope, store
 from . import sql as S
+from . import views
 from .registry import query, table
+from .views import counted_page
 
 TOP = 3
 
@@ -640,6 +642,47 @@ def permuted_questions(spark: SparkSession, sf: str) -> DataFrame:
     return first.select("item_id", F.row_number().over(Window.orderBy(F.md5(F.concat_ws(":", "item_id", F.lit(10))), "item_id")).cast("long").alias("place"))
 
 
+@query("SELECT item_id AS question_id, left(text, 49) || CASE WHEN length(text) > 50 THEN '…' ELSE substr(text, 50) END AS name, (SELECT count(*) FROM benchmark) AS total_count FROM benchmark ORDER BY text DESC, item_id LIMIT 20")
+def questions_page(spark: SparkSession, sf: str) -> DataFrame:
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), "text")
+    return counted_page(items, "-text", 1, 20, 20, "question_id").select("question_id", T.shortened(F.col("text")).alias("name"), "total_count")
+
+
+@query(f"WITH m AS (SELECT DISTINCT {NAME} AS method FROM events) SELECT method, (SELECT count(*) FROM m WHERE contains(method, 'title: 1')) AS total_count FROM m WHERE contains(method, 'title: 1') ORDER BY method LIMIT 15 OFFSET 10")
+def methods_page(spark: SparkSession, sf: str) -> DataFrame:
+    enabled = _method_names(spark, sf).where(F.col("method").contains("title: 1"))
+    return counted_page(enabled, "method", 2, 10, 15, "method")
+
+
+@query("SELECT word AS ngram, count(*) AS n FROM (SELECT unnest(list_transform(list_zip(w[:-2], w[2:]), lambda x: x[1] || ' ' || x[2])) AS word FROM (SELECT " + S.ITEM_TOKENS + " AS w FROM benchmark) WHERE len(w) >= 2) GROUP BY 1")
+def question_ngram_counts(spark: SparkSession, sf: str) -> DataFrame:
+    words = T.question_tokens(T.clean_question(F.col("text")))
+    return table(spark, sf, "benchmark").select(F.explode(T.ngrams(words, 2)).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("n"))
+
+
+SHOWN_METHODS = ("click", "purchase", "view")
+
+
+@query(f"""WITH {EVENT_RANKS}, w AS (SELECT question_id, article_id, coalesce(max(weight) FILTER (method = 'click'), -1e9) AS w1, coalesce(max(weight) FILTER (method = 'purchase'), -1e9) AS w2, coalesce(max(weight) FILTER (method = 'view'), -1e9) AS w3
+FROM rates WHERE method IN ('click', 'purchase', 'view') GROUP BY ALL)
+SELECT question_id, article_id, round(w1, 5) AS w1, round(w2, 5) AS w2, round(w3, 5) AS w3, row_number() OVER (PARTITION BY question_id ORDER BY w3, article_id) AS place, (question_id, article_id) IN (SELECT (question_id, article_id) FROM answers) AS is_answer FROM w""")
+def question_detail(spark: SparkSession, sf: str) -> DataFrame:
+    """By the third method, taken as one whose smaller weights are better."""
+    found = views.question_detail(event_rates(spark, sf), event_answers(spark, sf), [(m, m == "view") for m in SHOWN_METHODS], 3)
+    return found.select("question_id", "article_id", *[F.round(f"w{i}", 5).alias(f"w{i}") for i in (1, 2, 3)], F.col("place").cast("long").alias("place"), "is_answer")
+
+
+@query(f"""{RANKED_ALL}, {SOLVED} SELECT question_id, article_id, position, round(weight, 5) AS weight, ', type: tfi, title: 0, ngram: 1, mwiw: 0.00, n: 000, pf: 3.00' AS method FROM solved""")
+def resolved_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Solutions of one method of a grid, by way of its tables."""
+    from .resolve import Grid, resolve
+
+    c, out = Corpus(spark, sf), place(spark, "resolved")
+    resolve(spark, c.questions, c.articles, c.n, store(gold_answers(spark, sf), "answers"), Grid(), out, frequencies=c.frequencies)
+    found = spark.read.parquet(f"{out}/solutions")
+    return found.select("question_id", "article_id", F.col("position").cast("long").alias("position"), F.round("weight", 5).alias("weight"), "method")
+
+
 @query("WITH l AS (SELECT *, n_chars > 2000 AS p FROM labels JOIN documents USING (doc_id)) SELECT count(*) AS n, round(avg((p::INT = quality)::INT), 6) AS accuracy FROM l")
 def accuracy(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")

@@ -26,6 +26,10 @@ def with_answers(questions: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def save_ranking(solutions: DataFrame, rates: DataFrame, method: str, path: str) -> None:
-    """Solutions and rates of a method, each as a table partitioned by method; a repeated run replaces its own part."""
-    for name, df in (("solutions", solutions), ("rates", rates)):
+    """Solutions and rates of a method, each as a table partitioned by method; a repeated run replaces its own part.
+
+    Rates are written first: a method counts as solved by its solutions, so a run that is broken off between the two is
+    taken up again and writes both.
+    """
+    for name, df in (("rates", rates), ("solutions", solutions)):
         df.withColumn("method", F.lit(method)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("method").parquet(f"{path}/{name}")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import cache
 
@@ -44,6 +44,23 @@ def store(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def stored(spark: SparkSession, path: str) -> bool:
+    """Whether a table at path was written to its end."""
+    return exists(spark, f"{path}/_SUCCESS")
+
+
+def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path, made and written there first if it isn't there whole."""
+    if not stored(spark, path):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
