@@ -39,6 +39,10 @@ WINDOW, SHARE = 13, 20
 BLOCK_BYTES = 2 << 20
 #: Bytes of benchmark text that one scan of the index looks for.
 SCAN_BYTES = 16 << 20
+#: Bytes of index rows, of some MB each, that are written, and later read, together.
+GROUP_BYTES = 16 << 20
+#: Contaminated documents whose keys are sent to every task; of more, documents are exchanged by key, texts included.
+SENT_KEYS = 500_000
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 WORD = np.array([x >= 128 or chr(x).isalnum() for x in range(256)])
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
@@ -154,7 +158,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return store(rows.mapInArrow(blocks, INDEX), "postings")
+    return store(rows.mapInArrow(blocks, INDEX), "postings", group=GROUP_BYTES)
 
 
 class Block:
@@ -405,5 +409,6 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share:
     bad = found.where((F.col("n_whole") > 0) | ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))))
     of, print_ = fresh(docs.columns, "of", "print")
     gone = store(bad.select(F.col("doc_id").alias(of), F.col("text_hash").alias(print_)).distinct(), "contaminated")
-    # Spark broadcasts the stored table only if its size is under the session's threshold.
+    # a small key is sent to the texts, whatever the session's threshold: an exchange of all texts takes an executor's memory
+    gone = F.broadcast(gone) if gone.count() <= SENT_KEYS else gone
     return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone[of]) & (F.xxhash64(docs["text"]) == gone[print_]), "left_anti")

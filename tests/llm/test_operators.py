@@ -130,6 +130,25 @@ def test_contamination_of_empty_tables(spark):
     assert {r["n_hit"] for r in decontaminate.contamination(documents(spark), bench).collect()} == {0}
 
 
+def test_clean_texts_are_not_exchanged(spark, monkeypatch):
+    """Keys of contaminated documents are sent however small the session's threshold; of too many, rows are exchanged."""
+    item = " ".join(f"item{i}" for i in range(13))
+    docs = documents(spark, [*hard(spark), (50, f"a {item} b"), (51, item), (None, f"x {item}")])
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "GROUP_BYTES", 1)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most, exchanged in ((3, False), (2, True)):
+            monkeypatch.setattr(decontaminate, "SENT_KEYS", most)
+            kept = decontaminate.keep_clean(docs, benchmark)
+            assert sorted(key(r["doc_id"]) for r in kept.collect()) == sorted(key(i) for i, _ in hard(spark))
+            plan = kept._jdf.queryExecution().executedPlan().toString()
+            assert ("Exchange hashpartitioning" in plan) == exchanged
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_proximity(spark):
     docs = documents(spark, [(1, "red a b green c blue"), (2, "red " + "x " * 40 + "green blue"), (3, "blue green"), (None, "green red blue")])
     bench = spark.createDataFrame([(7, "red green blue")], "item_id long, text string")
