@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..storage import scope, store
 
-__all__ = ["bounded_batches", "fresh", "furthest", "let", "page_range", "pages", "partitions", "running", "scope", "store", "table", "with_unique"]
+__all__ = ["bounded_batches", "fresh", "furthest", "let", "only", "page_range", "pages", "partitions", "running", "scope", "store", "table", "with_unique"]
 
 #: Bytes of an Arrow batch sent to a Python worker, and rows at most.
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
@@ -31,6 +32,23 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_held: dict[str, dict] = {}
+
+
+def only(operator: str, held: dict | None = None) -> None:
+    """Called by a worker's task: from now on the worker remembers things of this operator alone, those in `held`.
+
+    Spark gives a worker tasks of one stage after another; without this it would hold what every operator remembers.
+    """
+    others = [x for x in _held if x != operator]
+    for x in others:
+        _held.pop(x).clear()
+    if others and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+    if held is not None:
+        _held[operator] = held
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, store
+from .common import bounded_batches, fresh, only, store
 
 WINDOW, SHARE = 13, 20
 #: Bytes of text in a block of the index; a longer document is a block of its own.
@@ -133,6 +133,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     bounded_batches(docs.sparkSession)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("decontaminate")
         ids: list = []
         hashes: list[int] = []
         texts: list[bytes] = []
@@ -272,6 +273,7 @@ def _plans(index: DataFrame, items: DataFrame, size: int, scan_bytes: int) -> It
         plan = Plan([tuple(r) for r in part.select("item_id", "text").toLocalIterator()], size)
 
         def counts(batches: Iterator[pa.RecordBatch], plan: Plan = plan) -> Iterator[pa.RecordBatch]:
+            only("decontaminate")
             total = np.zeros(len(plan.terms), np.int64)
             for block in _blocks(batches):
                 here = block.find(plan.terms, plan.hashes)
@@ -301,6 +303,7 @@ def _search(index: DataFrame, plan: Plan) -> DataFrame:
     """A row for each document of the index: its number in the index, words, the spans that are hit, and the items."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("decontaminate")
         for block in _blocks(batches):
             docs = len(block.doc_ids)
             before = np.r_[0, block.bounds[:-1]].astype(np.int64)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, only
 
 MARK = "▁"
 #: Cuts and pairs of pieces that a worker remembers; beyond it the memory starts anew.
@@ -243,6 +243,7 @@ def encode_column(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("pieces", _models)
         m = pieces(model)
         end = np.array([m.end], "<u4").tobytes()
         for batch in batches:
@@ -267,6 +268,7 @@ def decode_column(tokens: DataFrame, model: str, id_col: str = "doc_id", ids_col
     bounded_batches(tokens.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("pieces", _models)
         m = pieces(model)
         for batch in batches:
             texts = [None if x is None else m.decode(np.frombuffer(x, "<u4")).decode() for x in batch.column(1).to_pylist()]

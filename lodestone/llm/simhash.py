@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, partitions, scope, store, with_unique
+from .common import bounded_batches, fresh, only, partitions, scope, store, with_unique
 from .components import components
 
 SHINGLE, SEED, DISTANCE, CROWD = 4, 42, 4, 64
@@ -113,6 +113,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     names = ["fp", *(f"fp{j}" for j in range(1, prints))]
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("simhash")
         for batch in batches:
             made = fingerprints([x or b"" for x in batch.column(2).cast(pa.binary()).to_pylist()], size, prints)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(made[:, j]) for j in range(prints))], names=["doc_id", "text_hash", *names])
@@ -163,6 +164,7 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Verified pairs of small keys; a member of a crowded key comes out linked to itself."""
+        only("simhash")
         for key, fp in _runs(batches, CROWD):
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
             sizes = np.diff(np.r_[starts, len(key)])
@@ -191,6 +193,7 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     signed = [int(np.array(sum(1 << i for i in f), np.uint64).view(np.int64)) for f in flips]
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("simhash")
         masks = np.array(signed, np.int64)
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False)
@@ -201,6 +204,7 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All that meet at a key are linked to one of them, after all 64 bits are compared; of a run that batches cut,
         a link carries on."""
+        only("simhash")
         for key, fp in _runs(batches, 1):
             if not len(key):
                 continue

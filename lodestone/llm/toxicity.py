@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, partitions, store
+from .common import bounded_batches, only, partitions, store
 
 #: Labelled rows that are learned from at most; folds of which one is held out.
 SAMPLE, FOLDS = 16_000, 5
@@ -161,6 +161,7 @@ def _counted(rows: DataFrame, of) -> dict[tuple[str, int], int]:
     """Sums of what of(texts, labels) counts, task by task and then over all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
         total: Counter = Counter()
         for batch in batches:
             of(total, batch.column(0).to_pylist(), batch.column(1).to_pylist())
@@ -227,6 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     rare = {p for p, n in pos.items() if n > 20 * neg.get(p, 0) * toxic / clean}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
         for batch in batches:
             found = [sorted({p for w in set(WORD.findall(fold(t))) for p in parts_of(w) if p in rare}) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], names=["parts"])
@@ -254,6 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
         lexicon.exceptions = tuple(harmless)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
         made = lexicon.automaton()
         for batch in batches:
             found = [lexicon.found(t, made) for t in batch.column(0).to_pylist()]
@@ -300,6 +303,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
         made = lexicon.automaton()
         for batch in batches:
             found = [lexicon.evidence(t or "", made) for t in batch.column(1).to_pylist()]
@@ -316,6 +320,7 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     at = docs.columns.index("text")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
         made = lexicon.automaton()
         for batch in batches:
             p = lexicon.probability(np.array([lexicon.evidence(t or "", made)[0] for t in batch.column(at).to_pylist()], float))

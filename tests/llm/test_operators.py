@@ -10,7 +10,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestone.llm import chat, components, decontaminate, licenses, media, pieces, queries, secrets, shards, simhash, token_files, toxicity
+from lodestone.llm import chat, common, components, decontaminate, licenses, media, pieces, queries, secrets, shards, simhash, token_files, toxicity
 
 from .cases import LOWER, SCHEMA, WORD, documents, hard, texts
 
@@ -25,6 +25,17 @@ def key(x):
     return (x is not None, x or 0)
 
 
+def test_a_worker_remembers_one_operator_only():
+    """Tasks of the pipeline's other stages drop the pieces that the last stage's tasks remember."""
+    library = pieces.pieces(SPM)
+    library.encode("some words to remember")
+    common.only("pieces", pieces._models)
+    common.only("pieces", pieces._models)
+    assert pieces.pieces(SPM) is library
+    common.only("toxicity")
+    assert not pieces._models and pieces.pieces(SPM).known == {}
+
+
 # --- token files
 
 
