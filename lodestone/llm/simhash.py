@@ -3,8 +3,9 @@
 A fingerprint has 64 bits; two texts are linked where at most DISTANCE = 4 bits differ.  Such a pair differs in at most
 two bits of one 32-bit half.  So each distinct fingerprint enters, for each half, the Hamming ball of radius one around
 that half into a table (66 rows); linked pairs meet at a key half-way between them, and candidates are verified on all
-64 bits.  A key that holds more than CROWD fingerprints makes no pairs: its members are looked up exactly by the ball
-of radius two around the whole fingerprint, where everything that meets at a key is within four bits, so that a star of
+64 bits.  Of a task's pairs only a forest comes out: as many links as join the same fingerprints, fewer than the table has
+rows.  A key that holds more than CROWD fingerprints makes no pairs: its members are looked up exactly by the ball of
+radius two around the whole fingerprint, where everything that meets at a key is within four bits, so that a star of
 links, linear in the members, says the same as all pairs.  Nothing is dropped.
 
 A pipeline's stage takes shingles of STAGE_SHINGLE words and STAGE_PRINTS fingerprints of each text.
@@ -148,6 +149,20 @@ def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.nda
         yield key, val
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join exactly what the pairs join: each number but the least of its component to that one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while len(live := np.flatnonzero(root[x] != root[y])):
+        one, other = root[x[live]], root[y[live]]
+        np.minimum.at(root, np.maximum(one, other), np.minimum(one, other))
+        while np.any((up := root[root]) != root):
+            root = up
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[moved], nodes[root[moved]]
+
+
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """distinct (fp long): links (a, b) that join exactly those fingerprints that chains of close pairs join."""
     spark = distinct.sparkSession
@@ -163,14 +178,16 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
         return halves.select(F.col("half"), "fp", both).select(F.col("half").bitwiseXOR(F.col("mask")).alias("key"), "fp")
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Verified pairs of small keys; a member of a crowded key comes out linked to itself."""
+        """Links that join what the verified pairs of small keys join, fewer than the fingerprints that are in them, however
+        many pairs these make; a member of a crowded key comes out linked to itself."""
         only("simhash")
         for key, fp in _runs(batches, CROWD):
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
             sizes = np.diff(np.r_[starts, len(key)])
             size = np.repeat(sizes, sizes)
             crowd = np.unique(fp[size > CROWD])
-            a, b = [crowd], [crowd]
+            none = np.empty(0, np.int64)
+            a, b = [none], [none]
             live = np.flatnonzero((size > 1) & (size <= CROWD))
             k, f = key[live], fp[live]
             for d in range(1, min(CROWD, len(live))):
@@ -181,9 +198,9 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
                 near = np.bitwise_count((x ^ y).view(np.uint64)) <= DISTANCE
                 a.append(x[near])
                 b.append(y[near])
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-            if pairs.shape[1]:
-                yield _arrow(a=pairs[0], b=pairs[1])
+            x, y = _forest(np.concatenate(a), np.concatenate(b))
+            if len(x) or len(crowd):
+                yield _arrow(a=np.concatenate([crowd, x]), b=np.concatenate([crowd, y]))
 
     dealt = balls().repartition(n, "key").sortWithinPartitions("key")
     found = store(dealt.mapInArrow(met, "a long, b long").distinct(), "candidates")
@@ -211,9 +228,9 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             head = np.repeat(fp[starts], np.diff(np.r_[starts, len(key)]))
             other = (head != fp) & (np.bitwise_count((head ^ fp).view(np.uint64)) <= DISTANCE)
-            pairs = np.unique(np.stack([head[other], fp[other]]), axis=1)
-            if pairs.shape[1]:
-                yield _arrow(a=pairs[0], b=pairs[1])
+            x, y = _forest(head[other], fp[other])
+            if len(x):
+                yield _arrow(a=x, b=y)
 
     wide = crowded.repartition(n, "fp").mapInArrow(around, "key long, fp long").repartition(n, "key").sortWithinPartitions("key", "fp")
     return found.where("a <> b").unionByName(wide.mapInArrow(stars, "a long, b long"))

@@ -368,6 +368,15 @@ def test_links_match_brute_force(spark, crowd, monkeypatch):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_links_are_linear_in_a_group(spark):
+    """A key of n fingerprints, all of which are near, makes fewer than n links; keys meet in as many tasks as there are partitions."""
+    centre = random.Random(3).getrandbits(63)
+    prints = [centre, *(centre ^ (1 << i) for i in range(60))]
+    links = simhash.fingerprint_links(spark.createDataFrame([(x,) for x in prints], "fp long"))
+    assert links.count() < len(prints) * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {r["root"] for r in components.components(links).collect()} == {min(prints)}
+
+
 def test_near_duplicates(spark):
     base = " ".join(f"word{i}" for i in range(200))
     docs = [*hard(spark), (200, base), (201, base.replace("word77 ", "")), (202, base.upper()), (203, base + " more")]
