@@ -107,3 +107,25 @@ def test_categories_of_an_article_are_limited(spark):
     # c00 has three articles, 5.5 * 3; the others two, 1.5 * 2; of an article's fourteen categories the ten best count
     want = {1: (16.5 + 9 * 3.0) * 10, 2: (16.5 + 9 * 3.0) * 10, 3: 16.5}
     assert {r["article_id"]: r["weight"] for r in got.collect()} == want
+
+
+def test_pairs_of_a_large_key_are_whole_and_spread(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PACKED", 8)
+    one = spark.createDataFrame([(k, i, i / 2) for k, n in ((1, 40), (2, 3), (3, 1)) for i in range(n)], "k long, a long, w double")
+    other = spark.createDataFrame([(k, i) for k, n in ((1, 50), (2, 2), (4, 1)) for i in range(n)] + [(None, 7)], "k long, b long")
+    got = graph.paired(one, other, "k")
+    want = [(a, a / 2, b) for n, m in ((40, 50), (3, 2)) for a in range(n) for b in range(m)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_scores_meet_few_categories_without_an_exchange_of_pairs(spark):
+    scores = spark.createDataFrame([(q, a, (q * 7 + a) % 5 / 4) for q in range(30) for a in range(6)], "question_id long, article_id long, weight double")
+    members = spark.createDataFrame([(a, c) for a in range(90) for c in ("x", f"y{a % 2}")] + [(None, "x"), (5, None)], "article_id long, category string")
+    got = graph.propagate_categories(scores, members, 1.0, top=2, categories_top=1)
+    best = lambda q, held: 2 * sum(sorted(((q * 7 + a) % 5 / 4 for a in held), reverse=True)[:2])
+    of = {q: {"x": best(q, range(6)), "y0": best(q, (0, 2, 4)), "y1": best(q, (1, 3, 5))} for q in range(30)}
+    want = [(q, a, max(of[q]["x"], of[q][f"y{a % 2}"])) for q in range(30) for a in range(90)] + [(q, None, of[q]["x"]) for q in range(30)]
+    assert sorted(map(str, (tuple(r) for r in got.select("question_id", "article_id", "weight").collect()))) == sorted(map(str, want))
+    # all that is exchanged are pieces
+    assert "question_id" not in "".join(x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x)
