@@ -129,3 +129,17 @@ def test_scores_meet_few_categories_without_an_exchange_of_pairs(spark):
     assert sorted(map(str, (tuple(r) for r in got.select("question_id", "article_id", "weight").collect()))) == sorted(map(str, want))
     # all that is exchanged are pieces
     assert "question_id" not in "".join(x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x)
+
+
+def test_answers_from_titles_pair_nothing_twice(spark):
+    articles = spark.createDataFrame([(a, "Same" if a < 60 else f"t{a}" if a < 90 else None, 10 * (a % 3)) for a in range(100)], "article_id long, title string, words_count int")
+    resolved = spark.createDataFrame([(a, a - a % 6) for a in range(100)], "article_id long, target long")
+    wanted = spark.createDataFrame([(q, t) for q in range(40) for t in ("same", "SAME")] + [(50, "T62"), (50, "same"), (51, "t65"), (52, None), (53, "none"), (50, "t62")], "question_id long, title string")
+    got = graph.answers_from_titles(wanted, articles, resolved, 0)
+    want = {(q, a) for q in [*range(40), 50] for a in range(0, 60, 6)} | {(50, 60), (51, 60)}
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    few = graph.answers_from_titles(wanted, articles.where("article_id <> 12").union(spark.createDataFrame([(12, "same", 5)], articles.schema)), resolved, 5)
+    assert {tuple(r) for r in few.collect()} == {(q, 12) for q in [*range(40), 50]}
+    # pairs are made last: no exchange and no aggregate stands after them
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan and "Aggregate [question_id" not in plan
