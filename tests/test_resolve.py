@@ -143,3 +143,25 @@ def test_answers_from_titles_pair_nothing_twice(spark):
     # pairs are made last: no exchange and no aggregate stands after them
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate explode" in plan and "Aggregate [question_id" not in plan
+
+
+def test_evolution_ranks_as_fitness_does_in_a_job_a_measurement(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(q, a, m, float(rng.integers(0, 4)) / 4) for q in range(12) for a in range(9) for m in ("x", "cosine", "z") if rng.random() < 0.7]
+    rates = spark.createDataFrame(rows + [(0, 1, "x", 0.5), (1, 1, "z", None), (2, 1, "other", 9.0)], "question_id long, article_id long, method string, weight double")
+    solved = spark.createDataFrame([(q, a) for q in range(11) for a in (2, 5, 20)] * 2, "question_id long, article_id long")
+    people, methods = rng.random((7, 3)), ["x", "cosine", "z"]
+    people[0] = 0
+    parts = solved.where("question_id % 2 = 0"), solved.where("question_id % 2 = 1")
+    made = storage.store(ensemble.by_question(rates, parts, methods), "by-question")
+    table = spark.createDataFrame([(i, m, float(w)) for i, p in enumerate(people) for m, w in zip(methods, p)], "individual int, method string, w double")
+    for which, part in enumerate(parts):
+        want = {r["individual"]: r["mrr"] for r in ensemble.fitness(rates, part, table).collect()}
+        assert ensemble.mean_ranks(spark, made, which, 2, people).tolist() == pytest.approx([want[i] for i in range(7)], abs=1e-11)
+    plan = made.select("x", "golds")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    assert ensemble.mean_ranks(spark, made.where("question_id = 11"), 0, 2, people).tolist() == [0.0] * 7
+    x, gold = rng.integers(0, 9, (600, 3)) / 8, np.array([0, 5, 599])
+    ranks = ensemble.places(x, gold, people)
+    monkeypatch.setattr(ensemble, "DIRECT", 0)
+    assert (ranks == ensemble.places(x, gold, people)).all() and (ranks[:, 0] == 600).all() and ranks[0, 1] == (np.round(x @ people[1], 9) >= round(x[0] @ people[1], 9)).sum()
